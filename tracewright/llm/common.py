@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,22 @@ BATCH_ROWS = 512
 BLOCK_BYTES = 1 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: once per application, as a zip that Spark distributes."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="tracewright-")) / "tracewright_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._tracewright_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +50,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so lost executors cost no recomputation."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_dir(spark)}/tw-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -63,6 +81,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
 
 def map_blocks(df: DataFrame, schema: str, make: Callable[[], Callable], text: str = "text") -> DataFrame:
     """mapInArrow over blocks: make() runs once per task and returns f(rows, data, offsets) -> dict of columns."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):

@@ -6,8 +6,8 @@
    differs in one position at most; dropping each position in turn enumerates that error, and the rest is a key.
 3. Classes that share a key meet at the key's pivot (its least class), never pair by pair. Distances obey the triangle
    inequality: a member within T of the pivot is settled, since whoever is within T of it is within 2T of the pivot and is
-   tied to the pivot's cluster; members beyond T go on to a next pivot as long as one of them is beyond 2T. So every pair
-   within T ends up in one cluster.
+   tied to the pivot's cluster. Only where a member is beyond 2T, the members beyond T are cut into blocks and compared
+   with each other, and a spanning forest of their near pairs is kept. So every pair within T ends up in one cluster.
 4. Clusters are cut into blocks; each pair of blocks compares its full sets exactly, and yields a spanning forest of the
    confirmed links. Components of these links are the result.
 """
@@ -26,7 +26,6 @@ from .textnum import LOWER, U, mix, shingle_sets, span_hashes, words
 
 WIDTH = 6  # positions in a chunk
 BLOCK_ROWS, BLOCK_SHINGLES = 96, 1_000_000
-SMALL = 24  # members of a key whose pairs are compared at once from the second round on
 
 
 def plan(similarity: float) -> tuple[int, int, int]:
@@ -128,37 +127,90 @@ def hamming(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return got.select("p", "h", "a", "b").mapInArrow(run, "p long, h long, d int")
 
 
+def dealt(rows: DataFrame, by: str, nb: str) -> DataFrame:
+    """Deal the rows of each `by` into `nb` blocks, and send each row to the pairs of blocks (i, j) that hold its own; side
+    tells the two blocks apart. Sorted by pair of blocks within partitions."""
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("h"), F.col(nb)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col(nb) - 1)))
+    rows = rows.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o"), "side": (F.col("b") > F.col("o")).cast("int")}).drop("b", "o", nb)
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    return rows.repartition(n, by, "i", "j").sortWithinPartitions(by, "i", "j", "h")
+
+
+def compared(rows: DataFrame, by: str, body: str, links) -> DataFrame:
+    """(u, v) from links(bodies, sides) of each pair of blocks that dealt() made."""
+
+    def run(batches):
+        key, held = None, []
+
+        def close():
+            seen = {}
+            for side, h, x in held:
+                seen.setdefault(h, (side, x))
+            ids = list(seen)
+            if len(ids) < 2:
+                return None
+            got = links([seen[h][1] for h in ids], np.array([seen[h][0] for h in ids]))
+            return pa.RecordBatch.from_pydict({"u": pa.array([ids[x] for x, _ in got], pa.int64()), "v": pa.array([ids[y] for _, y in got], pa.int64())}) if got else None
+
+        for x in batches:
+            for *group, side, h, b in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if group != key:
+                    if held and (got := close()):
+                        yield got
+                    key, held = group, []
+                held.append((side, h, b))
+        if held and (got := close()):
+            yield got
+
+    return rows.select(by, "i", "j", "side", "h", body).mapInArrow(run, "u long, v long")
+
+
 def clusters(classes: DataFrame, limit: int) -> DataFrame:
     """(node, comp): every pair of classes whose signatures differ in `limit` positions or fewer shares a comp."""
     keys = classes.select("h", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("p"), F.count("*").alias("c")).where("c > 1")
-    active = common.materialize(keys.join(shared, "key").select("key", "h", "p", "c"))
-    ties, first = [], True
-    while True:
-        stars = active if first else active.where(f"c > {SMALL}")
-        pairs = stars.where("h <> p").select("p", "h").distinct()
-        dist = common.materialize(hamming(pairs, classes))
-        ties.append(dist.where(f"d <= {2 * limit}").select(F.col("p").alias("u"), F.col("h").alias("v")))
-        if not first:
-            few = active.where(f"c <= {SMALL}").groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-            few = few.select(F.explode(F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", F.lit(1), i), lambda y: F.struct(y.alias("p"), x.alias("h")))))).alias("x")).select("x.*").distinct()
-            ties.append(hamming(few, classes).where(f"d <= {limit}").select(F.col("p").alias("u"), F.col("h").alias("v")))
-        rest = stars.join(dist, ["p", "h"])
-        open_keys = rest.where(f"d > {2 * limit}").select("key").distinct()
-        rest = common.materialize(rest.where(f"d > {limit}").join(open_keys, "key", "left_semi").select("key", "h"))
-        shared = rest.groupBy("key").agg(F.min("h").alias("p"), F.count("*").alias("c")).where("c > 1")
-        active = common.materialize(rest.join(shared, "key").select("key", "h", "p", "c"))
-        if active.isEmpty():
-            break
-        first = False
-    edges = ties[0]
-    for t in ties[1:]:
-        edges = edges.union(t)
-    return components(edges)
+    stars = common.materialize(keys.join(shared, "key").select("key", "h", "p"))
+    dist = common.materialize(hamming(stars.where("h <> p").select("p", "h").distinct(), classes))
+    ties = dist.where(f"d <= {2 * limit}").select(F.col("p").alias("u"), F.col("h").alias("v"))
+    rest = stars.join(dist, ["p", "h"])
+    open_keys = rest.where(f"d > {2 * limit}").select("key").distinct()
+    rest = common.materialize(rest.where(f"d > {limit}").join(open_keys, "key", "left_semi").select("key", "h"))
+    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = dealt(rest.join(blocks, "key").join(classes.select("h", "sig"), "h"), "key", "nb")
+    near = compared(rows, "key", "sig", lambda bodies, sides: _near(bodies, sides, limit))
+    return components(ties.union(near))
+
+
+def _forest(n: int, ok: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs marked in `ok`; if both sides occur, they are only compared crosswise."""
+    ok = np.triu(ok, 1)
+    if side.any() and not side.all():
+        ok &= side[:, None] != side[None, :]
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
+        a, b = root(x), root(y)
+        if a != b:
+            parent[a] = b
+            out.append((x, y))
+    return out
+
+
+def _near(bodies: list[bytes], side: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    sig = np.frombuffer(b"".join(bodies), np.uint16).reshape(len(bodies), -1)
+    d = np.stack([(sig != s).sum(1) for s in sig])
+    return _forest(len(sig), d <= limit, side)
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with den * intersection >= num * union; sides 0 and 1 are only compared crosswise."""
+    """A spanning forest of the pairs with den * intersection >= num * union."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -177,24 +229,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list
         m[row[i:j], col[i:j] - a] = 1
         common_n += m @ m.T
     inter = common_n.astype(np.int64)
-    ok = np.triu(den * inter >= num * (size[:, None] + size[None, :] - inter), 1)
-    if side.any() and not side.all():
-        ok &= side[:, None] != side[None, :]
-    parent = list(range(n))
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
-        a, b = root(x), root(y)
-        if a != b:
-            parent[a] = b
-            out.append((x, y))
-    return out
+    return _forest(n, den * inter >= num * (size[:, None] + size[None, :] - inter), side)
 
 
 def confirmed(docs: DataFrame, members: DataFrame, num: int, den: int, width: int) -> DataFrame:
@@ -202,7 +237,6 @@ def confirmed(docs: DataFrame, members: DataFrame, num: int, den: int, width: in
 
     members: h, comp, doc_id and tx of one row of the class, n. Only texts of members are shingled again.
     """
-    spark = docs.sparkSession
     tx = F.xxhash64(F.coalesce("text", F.lit("")))
     blocks = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     members = members.join(blocks, "comp").withColumnsRenamed({"doc_id": "rep", "tx": "rep_tx"})
@@ -216,35 +250,7 @@ def confirmed(docs: DataFrame, members: DataFrame, num: int, den: int, width: in
         return f
 
     sets = common.map_blocks(texts, "h long, comp long, nb int, body binary", make)
-    block = F.pmod(F.xxhash64("h"), F.col("nb")).cast("int")
-    sets = sets.withColumn("b", block).select("h", "comp", "b", "body", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    sets = sets.select("comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "h", "body")
-    sets = sets.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "h")
-
-    def run(batches):
-        key, held = None, []
-
-        def close():
-            seen = {}
-            for side, h, body in held:
-                seen.setdefault(h, (side, body))
-            ids = list(seen)
-            if len(ids) < 2:
-                return None
-            links = _links([np.frombuffer(seen[h][1], U) for h in ids], np.array([seen[h][0] for h in ids]), num, den)
-            return pa.RecordBatch.from_pydict({"u": pa.array([ids[a] for a, _ in links], pa.int64()), "v": pa.array([ids[b] for _, b in links], pa.int64())}) if links else None
-
-        for x in batches:
-            for *group, side, h, body in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if group != key:
-                    if held and (got := close()):
-                        yield got
-                    key, held = group, []
-                held.append((side, h, body))
-        if held and (got := close()):
-            yield got
-
-    return sets.mapInArrow(run, "u long, v long")
+    return compared(dealt(sets, "comp", "nb"), "comp", "body", lambda bodies, sides: _links([np.frombuffer(x, U) for x in bodies], sides, num, den))
 
 
 def neighbours(docs: DataFrame, num: int = 85, den: int = 100, width: int = 5) -> DataFrame:
