@@ -1,32 +1,32 @@
 """LM scoring: prediction by partial matching over bytes, with word counts of the whole training corpus beside it.
 
-The trie of byte contexts (orders 0 to 5) is counted over all training texts and kept as hash arrays, one per order. A
+The trie of byte contexts (orders 0 to 4) is counted over all training texts and kept as hash arrays, one per order. A
 byte unseen in its longest context escapes to the next shorter one; bytes seen in the longer context are excluded there.
 The code length of a text is the sum over its bytes and one end symbol.
 
 Word counts are as large as the corpus, so they are never broadcast: texts are dealt into blocks of a few MB, each block
-asks for the counts of its own distinct words through a join, and the answers meet the block again in a cogroup.
+gets the counts of its own distinct words through a window, and they meet the block again in a cogroup.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .textnum import LOWER, HashIndex, U, span_hashes, sums, words
 
-ORDER = 5
+ORDER = 4
 END, PAD = 0xFF, 0xFE  # bytes that never occur in UTF-8: the end symbol and what precedes a text
 WORD, GRAM = 0, 1
 #: Input bytes of a block of texts. A block's words and texts must fit in one Python worker.
-SPLIT_BYTES = 8 << 20
+SPLIT_BYTES = 16 << 20
 
 
 def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 6-byte code (context and symbol) of each byte and of each text's end; first code of each text."""
+    """The 5-byte code (context and symbol) of each byte and of each text's end; first code of each text."""
     texts = len(at) - 1
     first = at + np.arange(texts + 1)
     flat = np.full(len(data) + texts * (ORDER + 1), PAD, np.uint64)
@@ -113,7 +113,7 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 def count(blocks: DataFrame) -> DataFrame:
     """One scan: (kind, part, code, n) with the distinct words of each part (n: uses in training texts, perhaps 0) and the
-    6-byte codes of its training texts."""
+    5-byte codes of its training texts."""
     blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
 
     def run(batches):
@@ -186,12 +186,15 @@ def score(docs: DataFrame, max_nodes: int = 2_000_000) -> DataFrame:
     blocks = blocked(docs)
     counts = common.materialize(count(blocks))
     trie = fit(counts, max_nodes)
-    asked = counts.where(F.col("kind") == WORD).groupBy("part", "code").agg(F.sum("n").alias("n"))
-    total = counts.where(F.col("kind") == WORD).groupBy("code").agg(F.sum("n").alias("c"))
-    total = common.materialize(total.where("c > 0"))
-    n_words, n_kinds = total.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # A word has a row for each part that uses it, so a window over the word meets no more rows than there are parts.
+    word = Window.partitionBy("code").orderBy("part")
+    known = counts.where(F.col("kind") == WORD).select("part", "code", "n")
+    whole = word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = known.select("part", "code", "n", F.sum("n").over(whole).alias("c"), (F.row_number().over(word) == 1).alias("first"))
+    known = common.materialize(known.where("c > 0"))
+    n_words, n_kinds = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("first")).first()
     ends = docs.select((F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("h")).where("h is null or not h").count()
-    answers = asked.select("part", "code").join(total, "code").select("part", "code", "c")
+    answers = known.select("part", "code", "c")
     tokens, kinds = n_words + ends, n_kinds + (ends > 0)
     shared = spark.sparkContext.broadcast(trie)  # at most max_nodes nodes an order
 
