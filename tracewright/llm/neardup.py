@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textnum import LOWER, U, mix, shingle_sets, span_hashes, words
+from .textnum import LOWER, U, mix, shingle_sets, span_hashes, spread, words
 
 WIDTH = 6  # positions in a chunk
 BLOCK_ROWS, BLOCK_SHINGLES = 96, 1_000_000
+BITMAP = 1 << 23  # bits that tell members from other texts; false hits cost work only
 
 
 def plan(similarity: float) -> tuple[int, int, int]:
@@ -240,16 +241,28 @@ def confirmed(docs: DataFrame, members: DataFrame, num: int, den: int, width: in
     tx = F.xxhash64(F.coalesce("text", F.lit("")))
     blocks = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     members = members.join(blocks, "comp").withColumnsRenamed({"doc_id": "rep", "tx": "rep_tx"})
-    texts = docs.select("doc_id", "text", tx.alias("tx")).join(members, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tx") == F.col("rep_tx"))).select("h", "comp", "nb", "text")
+    # A bitmap of fixed size tells the scan which texts can be members; only their sets are shuffled.
+    place = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(BITMAP))
+    words_set = members.select(place("rep", "rep_tx").alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 31 AS int))")).alias("b")).collect()
+    bitmap = np.zeros(BITMAP >> 5, np.uint32)
+    bitmap[[r.w for r in words_set]] = np.array([r.b for r in words_set], np.int64).astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def make():
+        bits = shared.value
+
         def f(rows, data, at):
-            sets = text_sets(data, at, width)
-            return {"h": rows.column(0), "comp": rows.column(1), "nb": rows.column(2), "body": pa.array([s.tobytes() for s in sets], pa.binary())}
+            x = rows.column(3).to_numpy()
+            pick = np.flatnonzero((bits[x >> 5] >> (x & 31).astype(np.uint32)) & 1)
+            group, place = spread(np.diff(at)[pick])
+            sets = text_sets(data[at[pick][group] + place], np.r_[0, np.cumsum(np.diff(at)[pick])], width)
+            return {"doc_id": rows.column(0).take(pa.array(pick)), "tx": rows.column(2).take(pa.array(pick)), "body": pa.array([s.tobytes() for s in sets], pa.binary())}
 
         return f
 
-    sets = common.map_blocks(texts, "h long, comp long, nb int, body binary", make)
+    texts = docs.select(F.col("doc_id").cast("long"), "text", tx.alias("tx")).withColumn("x", place("doc_id", "tx"))
+    sets = common.map_blocks(texts, "doc_id long, tx long, body binary", make)
+    sets = sets.hint("merge").join(members, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tx") == F.col("rep_tx"))).select("h", "comp", "nb", "body")
     return compared(dealt(sets, "comp", "nb"), "comp", "body", lambda bodies, sides: _links([np.frombuffer(x, U) for x in bodies], sides, num, den))
 
 
