@@ -144,7 +144,7 @@ def train(rows: list, bits: int = 18, dim: int = 8, window: int = 1, epochs: int
     return Model(bits, window, emb @ (w[:, 1] - w[:, 0]), bias, 0.01)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 6_000_000, **kw) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 3_500_000, **kw) -> Model:
     """Train on at most `max_rows` labelled rows (together at most `max_bytes`) outside the held-out fold."""
     return train(common.labelled(docs, labels, "toxic", max_rows, max_bytes), **kw)
 
