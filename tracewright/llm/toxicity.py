@@ -78,14 +78,28 @@ class Model:
         return out
 
 
+def gather(data: list, bits: int, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """grams() of whole texts, `limit` bytes at a time, so that only its result is held in full."""
+    keys, first, word_at, batch, size = [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [], 0
+    for i, text in enumerate(data):
+        batch.append(text)
+        size += len(text)
+        if size >= limit or i == len(data) - 1:
+            k, f, w = grams(np.frombuffer(b"".join(batch), np.uint8), np.r_[0, np.cumsum([len(x) for x in batch])], bits)
+            keys.append(k)
+            first.append(f[1:] + first[-1][-1])
+            word_at.append(w[1:] + word_at[-1][-1])
+            batch, size = [], 0
+    return np.concatenate(keys), np.concatenate(first), np.concatenate(word_at)
+
+
 def train(rows: list, bits: int = 18, dim: int = 8, window: int = 1, epochs: int = 60, rate: float = 0.25, seed: int = 7) -> Model:
     """Full-batch Adagrad on embeddings and softmax weights: first on averages over whole texts, then on worst passages."""
     if not rows:
         return Model(bits, window, np.zeros(1 << bits), -3.0, 0.05)
     data = [t.encode() for t, _ in rows]
-    at = np.r_[0, np.cumsum([len(x) for x in data])]
     y = np.array([v for _, v in rows], float)
-    keys, first, word_at = grams(np.frombuffer(b"".join(data), np.uint8), at, bits)
+    keys, first, word_at = gather(data, bits)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.02, (1 << bits, dim))
     w, bias = rng.normal(0, 1, (dim, 2)), 0.0
@@ -98,18 +112,24 @@ def train(rows: list, bits: int = 18, dim: int = 8, window: int = 1, epochs: int
     per_text = np.maximum(1, np.diff(grams_at))
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     text_end = np.repeat(word_at[1:], np.diff(word_at))
+    ends = np.r_[spans, word_at[-1]]
+    cuts = np.unique(np.r_[np.searchsorted(first, np.arange(0, len(keys), 1 << 19)), len(first) - 1])
+    parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))  # runs of words with about 2**19 n-grams
+
+    def per_word(s):
+        return np.concatenate([sums(s[keys[first[a] : first[b]]], first[a : b + 1] - first[a]) for a, b in parts])
+
     for epoch in range(epochs):
         slope = w[:, 1] - w[:, 0]
         s = emb @ slope
         if epoch < 6:
-            lo, hi = grams_at[:-1], grams_at[1:]
-            z = sums(s[keys], grams_at) / per_text * 20 + bias
+            z = sums(per_word(s), ends) / per_text * 20 + bias
             mass, use, target, wt = 20 / per_text, None, y, weight
         else:
             if epoch % 6:  # the worst passages are looked up anew every sixth step
                 lo, hi, take = kept
             else:
-                logit = passages(sums(s[keys], first), np.diff(first), word_at, window)
+                logit = passages(per_word(s), np.diff(first), word_at, window)
                 best = np.maximum.reduceat(logit, spans)
                 group = np.repeat(np.arange(len(spans)), np.diff(np.r_[spans, word_at[-1]]))
                 pick = np.full(len(spans), len(logit))
@@ -129,7 +149,9 @@ def train(rows: list, bits: int = 18, dim: int = 8, window: int = 1, epochs: int
             wt = np.r_[weight, weight[clean] * 0.5]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * wt * mass
         if use is None:
-            grad = np.bincount(keys[grams_at[0] : grams_at[-1]], weights=np.repeat(g, hi - lo), minlength=1 << bits)
+            grad, of_word = np.zeros(1 << bits), np.repeat(g, np.diff(ends))
+            for a, b in parts:
+                grad += np.bincount(keys[first[a] : first[b]], weights=np.repeat(of_word[a:b], np.diff(first[a : b + 1])), minlength=1 << bits)
         else:
             grad = np.bincount(keys[each], weights=np.repeat(g, n), minlength=1 << bits)
         gw, gb = grad @ emb, float((g / mass).sum())
