@@ -147,7 +147,8 @@ def _find(docs: DataFrame, shared, threshold: float) -> DataFrame:
     total = found.count()
     rank = F.percent_rank().over(Window.partitionBy("item").orderBy("n"))
     seeds = often.withColumn("r", rank).where((F.col("r") <= 0.5) | (F.col("n") < total / 1000)).groupBy("item").agg(F.collect_list("gram").alias("seeds"))
-    good = found.join(seeds, "item").withColumn("n_seeds", F.size(F.array_intersect("seen", "seeds"))).where("n_seeds > 0")
+    # At most the 3-grams of ITEM_BYTES of text, so `seeds` may be broadcast: the windows stay where they were read, however many one item has.
+    good = found.join(F.broadcast(seeds), "item").withColumn("n_seeds", F.size(F.array_intersect("seen", "seeds"))).where("n_seeds > 0")
 
     def run(batches):
         items = shared.value
