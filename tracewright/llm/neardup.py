@@ -172,7 +172,10 @@ def clusters(classes: DataFrame, limit: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("h").alias("p"), F.count("*").alias("c")).where("c > 1")
     stars = common.materialize(keys.join(shared, "key").select("key", "h", "p"))
     dist = common.materialize(hamming(stars.where("h <> p").select("p", "h").distinct(), classes))
-    ties = dist.where(f"d <= {2 * limit}").select(F.col("p").alias("u"), F.col("h").alias("v"))
+    # A class has at most as many pivots as keys: it is tied to the least of them, and so is each other one.
+    tied = dist.where(f"d <= {2 * limit}").groupBy("h").agg(F.min("p").alias("u"), F.collect_set("p").alias("ps"))
+    others = tied.select("u", F.explode("ps").alias("v")).where("u <> v").distinct()
+    ties = tied.select("u", F.col("h").alias("v")).union(others)
     rest = stars.join(dist, ["p", "h"])
     open_keys = rest.where(f"d > {2 * limit}").select("key").distinct()
     rest = common.materialize(rest.where(f"d > {limit}").join(open_keys, "key", "left_semi").select("key", "h"))
@@ -182,32 +185,34 @@ def clusters(classes: DataFrame, limit: int) -> DataFrame:
     return components(ties.union(near))
 
 
-def _forest(n: int, ok: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs marked in `ok`; if both sides occur, they are only compared crosswise."""
-    ok = np.triu(ok, 1)
-    if side.any() and not side.all():
-        ok &= side[:, None] != side[None, :]
-    parent = list(range(n))
+def _forest(ok: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs marked in the symmetric matrix `ok`. If both sides occur, links within a side are
+    known from that side's own block, and only links that join what they leave apart are returned."""
+    label = np.arange(len(ok))
+    out = []
 
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def join(marks, told):
+        for x, row in enumerate(marks):
+            y = np.flatnonzero(row)
+            y = y[label[y] != label[x]]
+            while len(y):
+                if told:
+                    out.append((x, int(y[0])))
+                label[label == label[y[0]]] = label[x]
+                y = y[label[y] != label[x]]
 
-    out = []
-    for x, y in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
-        a, b = root(x), root(y)
-        if a != b:
-            parent[a] = b
-            out.append((x, y))
+    if side.any() and not side.all():
+        same = side[:, None] == side[None, :]
+        join(ok & same, False)
+        ok = ok & ~same
+    join(ok, True)
     return out
 
 
 def _near(bodies: list[bytes], side: np.ndarray, limit: int) -> list[tuple[int, int]]:
     sig = np.frombuffer(b"".join(bodies), np.uint16).reshape(len(bodies), -1)
     d = np.stack([(sig != s).sum(1) for s in sig])
-    return _forest(len(sig), d <= limit, side)
+    return _forest(d <= limit, side)
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -230,7 +235,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list
         m[row[i:j], col[i:j] - a] = 1
         common_n += m @ m.T
     inter = common_n.astype(np.int64)
-    return _forest(n, den * inter >= num * (size[:, None] + size[None, :] - inter), side)
+    return _forest(den * inter >= num * (size[:, None] + size[None, :] - inter), side)
 
 
 def confirmed(docs: DataFrame, members: DataFrame, num: int, den: int, width: int) -> DataFrame:
