@@ -190,6 +190,31 @@ def test_near_duplicates_of_one_family(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_block_forests_join_what_all_pairs_join():
+    def parts(n, links):
+        label = np.arange(n)
+        for a, b in links:
+            label[label == label[b]] = label[a]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    rng = np.random.default_rng(7)
+    for share in (0.0, 0.02, 0.05, 0.3, 1.0):
+        n = 40
+        ok = rng.random((n, n)) < share
+        ok |= ok.T
+        block = np.arange(n) % 4
+        found = []
+        for i in range(4):
+            for j in range(i, 4):
+                at = np.flatnonzero((block == i) | (block == j))
+                side = (block[at] == j).astype(int) if i < j else np.zeros(len(at), int)
+                got = neardup._forest(ok[np.ix_(at, at)], side)
+                assert i == j or all(side[a] != side[b] for a, b in got)
+                found += [(at[a], at[b]) for a, b in got]
+        assert all(ok[a, b] for a, b in found)
+        assert parts(n, found) == parts(n, np.argwhere(ok))
+
+
 def test_edited_benchmark_items_are_found(spark):
     rng = np.random.default_rng(5)
     item = [f"q{rng.integers(0, 10**6)}" for _ in range(40)]
