@@ -227,6 +227,22 @@ def test_edited_benchmark_items_are_found(spark):
     assert [(r.start_word, r.end_word, round(r.score, 6)) for r in got if r.doc_id == 1] == [(50, 90, 1.0)]
 
 
+def test_common_edited_copies_are_found_beside_a_verbatim_one(spark):
+    item = [f"q{i}" for i in range(40)]
+    edited = [f"e{i}" if i % 4 == 3 else w for i, w in enumerate(item)]
+    rows = [(0, " ".join(["n1", *item, "n2"]))] + [(i, " ".join([f"n{i}", *edited, "n3"])) for i in range(1, 61)]
+    got = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: round(r.score, 6) for r in got} == {0: 1.0} | {i: 0.66 for i in range(1, 61)}
+    assert {(r.start_word, r.end_word) for r in got if r.doc_id} == {(1, 40)}
+
+
+def test_no_alignment_scores_above_its_reach():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        a, b = rng.integers(0, 9, 12).astype(np.uint64), rng.integers(0, 9, rng.integers(1, 20)).astype(np.uint64)
+        assert decontaminate.align(a, b)[0] <= decontaminate.reach(np.unique(a, return_counts=True), b) == sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+
+
 def test_alignment_equals_the_table_method():
     rng = np.random.default_rng(7)
     for _ in range(50):

@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare word 3-grams seed a join of documents with test items; Smith-Waterman confirms.
 
 Items are indexed in blocks of bounded size. One scan of the documents per block finds every 3-gram that a text shares
-with an item, and keeps the window of words round it. How often each 3-gram occurs in the corpus decides which are rare
-enough to be seeds; windows with a seed are aligned locally with their item, so edited and paraphrased copies score too.
+with an item, and keeps the window of words round it. Every window whose words could reach the threshold is aligned
+locally with its item, so edited and paraphrased copies score too, however common they are. How often each 3-gram occurs
+in the corpus decides which are rare enough to be seeds; a find tells how many of them it holds.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ class Items:
         start, end, first = words(low, at)
         h = span_hashes(low, start, end)
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.kinds = [np.unique(w, return_counts=True) for w in self.words]
         g = [grams(w) for w in self.words]
         flat = np.concatenate([*g, np.zeros(0, U)])
         item = np.repeat(np.arange(len(g)), [len(x) for x in g])
@@ -49,6 +51,13 @@ class Items:
         self.item, self.place = item[order], place[order]
 
 
+def reach(kinds: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> int:
+    """The most words of an item that any alignment can match in the window: no alignment scores more."""
+    word, n = kinds
+    at = np.minimum(np.searchsorted(word, window), len(word) - 1)
+    return int(np.minimum(np.bincount(at[word[at] == window], minlength=len(word)), n).sum())
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman with linear gaps over words: best score, and where it begins and ends in the window."""
     m = len(window)
@@ -123,7 +132,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.45) -> Data
     """(doc_id, item_id, score, n_seeds, start_word, end_word): the best alignment of every document and item that reaches
     `threshold` of the score of a full copy.
 
-    A 3-gram is a seed if it is among the rarer half of its item's, or in fewer than a thousandth of the windows. Null and
+    A 3-gram is a seed if it is among the rarer half of its item's, or in fewer than a thousandth of the windows; a find
+    need not have one, but a document that shares no 3-gram with an item is not aligned with it. Null and
     empty texts have none, nor have items of fewer than three words. Repeated rows are reported each; null ids stay null;
     other columns are ignored. An empty benchmark gives no row.
     """
@@ -148,15 +158,17 @@ def _find(docs: DataFrame, shared, threshold: float) -> DataFrame:
     rank = F.percent_rank().over(Window.partitionBy("item").orderBy("n"))
     seeds = often.withColumn("r", rank).where((F.col("r") <= 0.5) | (F.col("n") < total / 1000)).groupBy("item").agg(F.collect_list("gram").alias("seeds"))
     # At most the 3-grams of ITEM_BYTES of text, so `seeds` may be broadcast: the windows stay where they were read, however many one item has.
-    good = found.join(F.broadcast(seeds), "item").withColumn("n_seeds", F.size(F.array_intersect("seen", "seeds"))).where("n_seeds > 0")
+    good = found.join(F.broadcast(seeds), "item").withColumn("n_seeds", F.size(F.array_intersect("seen", "seeds")))
 
     def run(batches):
         items = shared.value
         for x in batches:
             out = []
             for doc_id, row, item, begin, body, n in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                own = items.words[item]
-                score, a, b = align(own, np.frombuffer(body, U))
+                own, window = items.words[item], np.frombuffer(body, U)
+                if reach(items.kinds[item], window) < threshold * len(own):
+                    continue
+                score, a, b = align(own, window)
                 if score >= threshold * len(own):
                     out.append((doc_id, row, items.ids[item], score / len(own), n, begin + a, begin + b))
             if out:
