@@ -278,6 +278,25 @@ def test_base_scores_and_code_lengths(spark, docs):
         assert abs((10.0 ** trie.log10(flat)).sum() - 1) < 1e-6
 
 
+def test_code_lengths_equal_the_whole_trie(spark, docs):
+    rows = docs.limit(120).collect()
+    frame = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.score(frame).collect()}
+    code, _ = ppm.contexts(*pack([r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]))
+    k, m = np.unique(code, return_counts=True)
+    trie = ppm.Trie([ppm.tally([(k & np.uint64((1 << (8 * (j + 1))) - 1), m)]) for j in range(ppm.ORDER + 1)])
+    for r in rows:
+        assert abs(got[r.doc_id] - trie.log10(ppm.contexts(*pack([r.text]))[0]).sum()) < 1e-6
+
+
+def test_rare_contexts_of_a_large_corpus_are_kept(spark):
+    rng = np.random.default_rng(17)
+    text = bytes(rng.integers(33, 123, 2_300_000, np.uint8)).decode().lower()
+    ids = [next(i for i in range(99) if (zlib.crc32(str(i).encode()) % 5 == 1) == h) for h in (False, True)]
+    got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame([(ids[0], text), (ids[1], text[:10_000])], "doc_id long, text string")).collect()}
+    assert got[ids[1]] > -4_000  # log10(2) a byte, not that of the alphabet
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 

@@ -1,7 +1,7 @@
 """LM scoring: prediction by partial matching over bytes, with word counts of the whole training corpus beside it.
 
-The trie of byte contexts (orders 0 to 4) is counted over all training texts and kept as hash arrays, one per order. A
-byte unseen in its longest context escapes to the next shorter one; bytes seen in the longer context are excluded there.
+The trie of byte contexts (orders 0 to 4) is counted over all training texts and kept whole, as hash arrays dealt by the
+two bytes before a symbol; each block of texts gets the code lengths of its own distinct contexts and symbols. A byte unseen in its longest context escapes to the next shorter one; bytes seen in the longer context are excluded there.
 The code length of a text is the sum over its bytes and one end symbol.
 
 Word counts are as large as the corpus, so they are never broadcast: texts are dealt into blocks of a few MB, each block
@@ -12,15 +12,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .textnum import LOWER, HashIndex, U, span_hashes, sums, words
+from .textnum import LOWER, HashIndex, U, mix, span_hashes, sums, words
 
 ORDER = 4
 END, PAD = 0xFF, 0xFE  # bytes that never occur in UTF-8: the end symbol and what precedes a text
-WORD, GRAM = 0, 1
+WORD, GRAM, PAIR = 0, 1, 2
+#: Groups of contexts whose trie is built at once.
+BUCKETS = 256
+CODEC = pa.Codec("zstd", 1)
 #: Input bytes of a block of texts. A block's words and texts must fit in one Python worker.
 SPLIT_BYTES = 16 << 20
 
@@ -112,19 +116,32 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 
 def count(blocks: DataFrame) -> DataFrame:
-    """One scan: (kind, part, code, n) with the distinct words of each part (n: uses in training texts, perhaps 0) and the
-    5-byte codes of its training texts."""
+    """One scan: (kind, part, code, n, codes, counts), n and counts being uses in training texts, perhaps 0. WORD: a distinct
+    word of a part. PAIR: a distinct code of two bytes. GRAM: n distinct 5-byte codes of a part, and `code` their bucket."""
     blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
 
+    def batch(kind, part, code, n, codes=None, counts=None):
+        blob = lambda x: pa.array(x, pa.binary()) if x is not None else pa.nulls(len(code), pa.binary())
+        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(code), kind, np.int32)), "part": pa.array(np.full(len(code), part, np.int64)), "code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64()), "codes": blob(codes), "counts": blob(counts)})
+
     def run(batches):
         held: dict = {}
 
         def flush():
             for (kind, part), parts in sorted(held.items()):
                 keys, n = tally(parts)
+                if kind == GRAM:
+                    pairs = shorter(keys, n, 1)
+                    yield batch(PAIR, part, pairs[0][pairs[1] > 0].view(np.int64), pairs[1][pairs[1] > 0])
+                    bucket = (mix((keys >> U(8)) & U(0xFFFF)) % U(BUCKETS)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    ids, begin = np.unique(bucket[order], return_index=True)
+                    cut = lambda x: [squeezed(y) for y in np.split(x[order], begin[1:])] if len(ids) else []
+                    yield batch(GRAM, part, ids, np.diff(np.r_[begin, len(keys)]), cut(keys), cut(n))
+                    continue
                 for a in range(0, len(keys), 1 << 16):
                     k = keys[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(k), kind, np.int32)), "part": pa.array(np.full(len(k), part, np.int64)), "code": pa.array(k.view(np.int64)), "n": pa.array(n[a : a + (1 << 16)])})
+                    yield batch(kind, part, k.view(np.int64), n[a : a + (1 << 16)])
             held.clear()
 
         size = 0
@@ -140,10 +157,10 @@ def count(blocks: DataFrame) -> DataFrame:
                 here = owner[text_of] == part
                 got = tally([(hashes[here], train[text_of[here]].astype(np.int64))])
                 held.setdefault((WORD, part), []).append(got)
-                picked = np.sort(code[(train & (owner == part))[code_of]])
-                head = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]]) if len(picked) else np.zeros(0, np.int64)
-                held.setdefault((GRAM, part), []).append((picked[head], np.diff(np.r_[head, len(picked)])))
-                size += len(got[0]) + len(head)
+                here = owner[code_of] == part
+                grams = tally([(code[here], train[code_of[here]].astype(np.int64))])
+                held.setdefault((GRAM, part), []).append(grams)
+                size += len(got[0]) + len(grams[0])
             if size > 6_000_000:
                 for key, parts in held.items():
                     held[key] = [tally(parts)]
@@ -153,39 +170,54 @@ def count(blocks: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return blocks.mapInArrow(run, "kind int, part long, code long, n long")
+    return blocks.mapInArrow(run, "kind int, part long, code long, n long, codes binary, counts binary")
 
 
-def fit(counts: DataFrame, max_nodes: int = 2_000_000) -> Trie:
-    """Collect the trie. `max_nodes` bounds it: above it, the least count that a node needs rises, alike in all orders,
-    and what is pruned is coded by the escape to shorter contexts."""
-    full = counts.where(F.col("kind") == GRAM).groupBy("code").agg(F.sum("n").alias("n"))
-    full = common.materialize(full)
-    sizes = {r.n: r.k for r in full.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("k")).collect()}
-    least, nodes = 1, sum(sizes.values())
-    while nodes > max_nodes and least < 4096:
-        nodes -= sizes.get(least, 0)
-        least += 1
-    grams = []
-    for j in range(ORDER + 1):
-        own = full
-        if j < ORDER:
-            own = full.groupBy(F.col("code").bitwiseAND((1 << (8 * (j + 1))) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        got = own.where(F.col("n") >= least).toArrow()
-        grams.append((got.column("code").to_numpy().view(U), got.column("n").to_numpy()))
-    return Trie(grams)
+def shorter(code: np.ndarray, n: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of order j that these end in, and their counts."""
+    return tally([(code & U((1 << (8 * (j + 1))) - 1), n)])
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return CODEC.compress(values.tobytes(), asbytes=True)
+
+
+def loosened(blobs: pa.ChunkedArray, sizes: np.ndarray, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(CODEC.decompress(x.as_buffer(), 8 * int(k), asbytes=True), dtype) for x, k in zip(blobs, sizes, strict=True)]
+
+
+def code_lengths(counts: DataFrame) -> DataFrame:
+    """(part, n, codes, logs): the log10 probability of each code that a part uses, under the trie of all training texts.
+
+    Every context of two bytes or more lies with all that follows it in one bucket, whole: nothing is pruned. Only the
+    counts of one and two bytes, at most 65,792, go to all buckets.
+    """
+    pairs = counts.where(F.col("kind") == PAIR).groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    pairs = tally([(pairs.column("code").to_numpy().view(U), pairs.column("n").to_numpy())])
+    low = counts.sparkSession.sparkContext.broadcast([shorter(*pairs, 0), pairs])
+
+    def run(rows: pa.Table) -> pa.Table:
+        sizes = rows.column("n").to_numpy()
+        codes = loosened(rows.column("codes"), sizes, U)
+        code, n = tally([*zip(codes, loosened(rows.column("counts"), sizes, np.int64), strict=True)])
+        used = n > 0
+        trie = Trie([*low.value, *(shorter(code[used], n[used], j) for j in range(2, ORDER)), (code[used], n[used])])
+        log = np.concatenate([trie.log10(code[i : i + (1 << 20)]) for i in range(0, len(code), 1 << 20)])
+        logs = [squeezed(log[np.searchsorted(code, x)]) for x in codes]
+        return pa.table({"part": rows.column("part"), "n": rows.column("n"), "codes": rows.column("codes"), "logs": pa.array(logs, pa.binary())})
+
+    grams = counts.where(F.col("kind") == GRAM).select("part", F.col("code").alias("bucket"), "n", "codes", "counts")
+    return grams.repartition(BUCKETS, "bucket").groupBy("bucket").applyInArrow(run, "part long, n long, codes binary, logs binary")
 
 
-def score(docs: DataFrame, max_nodes: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Null texts count as empty: one end token and one end symbol. Repeated rows are scored each; a null doc_id belongs to
     the training rows and has a null held_out; other columns are ignored. Without training rows every byte is uniform.
     """
-    spark = docs.sparkSession
     blocks = blocked(docs)
     counts = common.materialize(count(blocks))
-    trie = fit(counts, max_nodes)
     # A word has a row for each part that uses it, so a window over the word meets no more rows than there are parts.
     word = Window.partitionBy("code").orderBy("part")
     known = counts.where(F.col("kind") == WORD).select("part", "code", "n")
@@ -194,14 +226,19 @@ def score(docs: DataFrame, max_nodes: int = 2_000_000) -> DataFrame:
     known = common.materialize(known.where("c > 0"))
     n_words, n_kinds = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("first")).first()
     ends = docs.select((F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("h")).where("h is null or not h").count()
-    answers = known.select("part", "code", "c")
+    answers = known.select("part", "code", F.col("c").alias("n")).unionByName(code_lengths(counts), allowMissingColumns=True)
     tokens, kinds = n_words + ends, n_kinds + (ends > 0)
-    shared = spark.sparkContext.broadcast(trie)  # at most max_nodes nodes an order
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        t = shared.value
+        grams = known.filter(pc.is_valid(known.column("codes")))
+        known = known.filter(pc.is_null(known.column("codes")))
+        sizes = grams.column("n").to_numpy()
+        codes = np.concatenate([*loosened(grams.column("codes"), sizes, U), np.zeros(0, U)])
+        logs = np.concatenate([*loosened(grams.column("logs"), sizes, np.float64), np.zeros(0)])
+        codes, one = np.unique(codes, return_index=True)
+        trie, logs = HashIndex(codes), logs[one]
         index = HashIndex(known.column("code").to_numpy().view(U))
-        c = np.r_[known.column("c").to_numpy(), 0].astype(float)
+        c = np.r_[known.column("n").to_numpy(), 0].astype(float)
         log = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
         log_end = float(np.log10((ends + 0.5) / (tokens + 0.5 * (kinds + 1))))
         out = []
@@ -209,11 +246,14 @@ def score(docs: DataFrame, max_nodes: int = 2_000_000) -> DataFrame:
             start, end, first = words(LOWER[data], at)
             found = index.find(span_hashes(LOWER[data], start, end))
             code, code_at = contexts(data, at)
+            place = trie.find(code)
+            if (place < 0).any():
+                raise ValueError("a part's texts differ between the two scans")
             n = np.diff(first) + 1
             out.append(pa.RecordBatch.from_pydict({
                 "doc_id": rows.column(rows.schema.get_field_index("doc_id")), "held_out": rows.column(rows.schema.get_field_index("held_out")), "n_tokens": pa.array(n),
                 "n_known": pa.array(sums(found >= 0, first).astype(np.int64) + (ends > 0)), "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
-                "base_score": pa.array(sums(log[found], first) + log_end), "score": pa.array(sums(t.log10(code), code_at)),
+                "base_score": pa.array(sums(log[found], first) + log_end), "score": pa.array(sums(logs[place], code_at)),
             }))
         return pa.Table.from_batches(out, schema)
 
