@@ -289,6 +289,14 @@ def test_code_lengths_equal_the_whole_trie(spark, docs):
         assert abs(got[r.doc_id] - trie.log10(ppm.contexts(*pack([r.text]))[0]).sum()) < 1e-6
 
 
+def test_contexts_of_five_bytes_count(spark):
+    rng = np.random.default_rng(13)
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(40)]
+    rows = [(i, "".join(rng.choice(["1abcd5 ", "2abcd6 "], 100))) for i in range(40)]
+    got = ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(held) and all(r.score > -45 for r in got if held[r.doc_id])  # a choice of two a word; two choices with four bytes
+
+
 def test_rare_contexts_of_a_large_corpus_are_kept(spark):
     rng = np.random.default_rng(17)
     text = bytes(rng.integers(33, 123, 2_300_000, np.uint8)).decode().lower()

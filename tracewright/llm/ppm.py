@@ -1,6 +1,6 @@
 """LM scoring: prediction by partial matching over bytes, with word counts of the whole training corpus beside it.
 
-The trie of byte contexts (orders 0 to 4) is counted over all training texts and kept whole, as hash arrays dealt by the
+The trie of byte contexts (orders 0 to 5) is counted over all training texts and kept whole, as hash arrays dealt by the
 two bytes before a symbol; each block of texts gets the code lengths of its own distinct contexts and symbols. A byte unseen in its longest context escapes to the next shorter one; bytes seen in the longer context are excluded there.
 The code length of a text is the sum over its bytes and one end symbol.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 from .textnum import LOWER, HashIndex, U, mix, span_hashes, sums, words
 
-ORDER = 4
+ORDER = 5
 END, PAD = 0xFF, 0xFE  # bytes that never occur in UTF-8: the end symbol and what precedes a text
 WORD, GRAM, PAIR = 0, 1, 2
 #: Groups of contexts whose trie is built at once.
@@ -30,7 +30,7 @@ SPLIT_BYTES = 16 << 20
 
 
 def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-byte code (context and symbol) of each byte and of each text's end; first code of each text."""
+    """The 6-byte code (context and symbol) of each byte and of each text's end; first code of each text."""
     texts = len(at) - 1
     first = at + np.arange(texts + 1)
     flat = np.full(len(data) + texts * (ORDER + 1), PAD, np.uint64)
@@ -117,7 +117,7 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 def count(blocks: DataFrame) -> DataFrame:
     """One scan: (kind, part, code, n, codes, counts), n and counts being uses in training texts, perhaps 0. WORD: a distinct
-    word of a part. PAIR: a distinct code of two bytes. GRAM: n distinct 5-byte codes of a part, and `code` their bucket."""
+    word of a part. PAIR: a distinct code of two bytes. GRAM: n distinct 6-byte codes of a part, and `code` their bucket."""
     blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
 
     def batch(kind, part, code, n, codes=None, counts=None):
