@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from compare import check
 
@@ -19,6 +21,32 @@ def test_entry_is_guarded(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Texts of all lengths: none, empty, short, and longer than 4,000 characters."""
+    texts = [None, "", "a", "short text", "It is a text of a few words. " * 2, "The rain in the east is not to be seen. " * 900, "x y z " * 20]
+    d = str(tmp_path_factory.mktemp("tables"))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    return d, {r[0]: r[1] for r in rows}
+
+
+def test_decode_layers_of_all_lengths(spark, tables):
+    d, texts = tables
+    rows = {r.sample_id: r for r in registry.QUERIES["y3_decode_layers"][0](spark, d).collect()}
+    digest = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    assert {i: (r.rot13_digest, r.hex_digest) for i, r in rows.items()} == {i: (digest(t), digest(t)) for i, t in texts.items()}
+    assert all((rows[i].digest is None) == (t is None) for i, t in texts.items())
+    assert all(rows[i].digest == digest(t) for i, t in texts.items() if t and len(t) >= 10)
+
+
+def test_xor_keys_of_all_lengths(spark, tables):
+    d, texts = tables
+    rows = {r.sample_id: r for r in registry.QUERIES["y6_xor_recovered"][0](spark, d).collect()}
+    assert rows.keys() == texts.keys() and rows[6].right and rows[5].right
+    assert all((r.found_key is None) == (not texts[i]) and r.right == (r.found_key == r.true_key) for i, r in rows.items())
+
+
 def test_xor_is_mostly_recovered(spark):
     rows = registry.QUERIES["y6_xor_recovered"][0](spark, D).collect()
     assert sum(r.right for r in rows) >= 0.93 * len(rows)

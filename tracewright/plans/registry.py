@@ -159,10 +159,11 @@ def _sql_sinks() -> str:
 
 
 def decode_layers(spark, d):
+    """Every document. What is too short for a decoder (14 characters of base64) is digested as it stands; null stays null."""
     t = documents(spark, d)
     flat = lambda x: F.regexp_replace(F.base64(F.encode(x, "UTF-8")), r"\s", "")
     one = flat(flat("text"))
-    return t.where("length(text) > 40 and length(text) < 4000").select("sample_id", F.md5(T.decode_base64(one)).alias("digest"), F.md5(T.decode_hex(F.hex(F.encode("text", "UTF-8")))).alias("hex_digest"), F.md5(T.rot13(T.rot13(F.col("text")))).alias("rot13_digest"))
+    return t.select("sample_id", F.md5(T.decode_base64(one)).alias("digest"), F.md5(T.decode_hex(F.hex(F.encode("text", "UTF-8")))).alias("hex_digest"), F.md5(T.rot13(T.rot13(F.col("text")))).alias("rot13_digest"))
 
 
 def decrypted(spark, d):
@@ -174,15 +175,16 @@ def decrypted(spark, d):
 
 
 def xor_recovered(spark, d):
-    t = documents(spark, d).where("length(text) between 80 and 4000")
+    """Every document. Empty and null texts have no found_key and are not right; of short texts a key is a guess."""
+    t = documents(spark, d)
     key = (F.pmod("sample_id", F.lit(255)) + 1).cast("int")
 
     @F.pandas_udf("binary")
     def hide(text, k):
-        return text.combine(k, lambda a, b: bytes(x ^ int(b) for x in a.encode("latin-1", "replace")))
+        return text.combine(k, lambda a, b: None if a is None else a.encode("latin-1", "replace").translate(bytes(x ^ int(b) for x in range(256))))
 
     got = decode.xor_recover(hide(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), key))
-    return t.select("sample_id", key.alias("true_key"), got.alias("x")).select("sample_id", "true_key", F.col("x.key").alias("found_key"), (F.col("x.key") == F.col("true_key")).alias("right"))
+    return t.select("sample_id", key.alias("true_key"), got.alias("x")).select("sample_id", "true_key", F.col("x.key").alias("found_key"), F.col("x.key").eqNullSafe(F.col("true_key")).alias("right"))
 
 
 def post_processed(spark, d):
