@@ -47,6 +47,16 @@ def test_xor_keys_of_all_lengths(spark, tables):
     assert all((r.found_key is None) == (not texts[i]) and r.right == (r.found_key == r.true_key) for i, r in rows.items())
 
 
+def test_overlay_has_every_document(spark, tables):
+    d, texts = tables
+    got = {r.path: (r.digest, r.replaced) for r in registry.QUERIES["d4_overlaid"][0](spark, d).collect()}
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for i, t in texts.items():
+        if t is not None:
+            new = (digest("new " + t), True)
+            assert (got[f"f{i}"], got.get(f"g{i}")) == ((new, None) if i % 3 == 0 else ((digest(t), False), new))
+
+
 def test_xor_is_mostly_recovered(spark):
     rows = registry.QUERIES["y6_xor_recovered"][0](spark, D).collect()
     assert sum(r.right for r in rows) >= 0.93 * len(rows)

@@ -272,9 +272,11 @@ SELECT 1 AS sample_id, path, score, size, rank::INTEGER AS rank FROM (SELECT *,
 
 
 def overlaid(spark, d):
+    """Every document is a file of both: the top replaces the base's where the id divides by three, else adds one."""
     t = documents(spark, d)
-    base = t.where("sample_id % 2 = 0").select(F.lit(1).alias("sample_id"), F.concat(F.lit("f"), F.col("sample_id").cast("string")).alias("path"), "text")
-    top = t.where("sample_id % 3 = 0").select(F.lit(1).alias("sample_id"), F.concat(F.lit("f"), F.col("sample_id").cast("string")).alias("path"), F.concat(F.lit("new "), "text").alias("text"))
+    place = F.when(F.pmod("sample_id", F.lit(3)) == 0, "f").otherwise("g")
+    base = t.select(F.lit(1).alias("sample_id"), F.concat(F.lit("f"), F.col("sample_id").cast("string")).alias("path"), "text")
+    top = t.select(F.lit(1).alias("sample_id"), F.concat(place, F.col("sample_id").cast("string")).alias("path"), F.concat(F.lit("new "), "text").alias("text"))
     return workspace.overlay(base, top).select("path", F.md5("text").alias("digest"), "replaced")
 
 
