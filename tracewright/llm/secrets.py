@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SCOPE = 256  # code points between the starts of parts that belong together
+SCOPE = 256  # code points from the end of a part to the start of the next that belongs to it
 #: kind: (pattern, group whose length counts, least length, what a match must also be like)
 PATTERNS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, ""),
     "access": (r"AKIA[A-Z0-9]{14,}", 0, 18, ""),
     "hex": (r"[0-9a-f]{16,}", 0, 16, ""),
     "user": (r"""((?i:username|user|login|client_?id|account))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3, ""),
-    "opaque": (r"[A-Za-z0-9+/=_-]{40,}", 0, 40, "^[A-Za-z0-9+/]{40}$"),
+    "opaque": (r"[A-Za-z0-9+/]{40,}", 0, 40, "^[A-Za-z0-9+/]{40}$"),
     "endpoint": (r"""(?:https?|ftp|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9@:%._/?&=#+-]+""", 0, 8, ""),
 }
 KINDS = list(PATTERNS)
@@ -65,10 +65,10 @@ def scan(docs: DataFrame, keep: tuple = ()) -> DataFrame:
     weak = F.concat(*[tag(k) for k in NEEDS])
     parts = base.where(" OR ".join(f"size(`{k}`) > 0" for k in NEEDS)).select("_tw_row", F.explode(F.concat(*[tag(k) for k in KINDS])).alias("s"))
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
-    bin_of = F.floor(F.col("s.start") / F.lit(SCOPE))
-    wanting = base.select("_tw_row", F.explode(weak).alias("s")).select("_tw_row", "s", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin"))
-    having = parts.select("_tw_row", bin_of.alias("bin"), role[F.col("s.kind")].alias("role"), F.col("s.start").alias("at"))
-    near = wanting.join(having, ["_tw_row", "bin"]).where(F.abs(F.col("at") - F.col("s.start")) <= SCOPE)
+    bins = lambda slack: F.explode(F.sequence(F.floor((F.col("s.start") - slack) / F.lit(SCOPE)), F.floor((F.col("s.end") + slack) / F.lit(SCOPE)))).alias("bin")
+    wanting = base.select("_tw_row", F.explode(weak).alias("s")).select("_tw_row", "s", bins(SCOPE))
+    having = parts.select("_tw_row", bins(0), role[F.col("s.kind")].alias("role"), F.col("s.start").alias("at"), F.col("s.end").alias("to"))
+    near = wanting.join(having, ["_tw_row", "bin"]).where(F.greatest("at", "s.start") - F.least("to", "s.end") <= SCOPE)
     roles = near.groupBy("_tw_row", "s").agg(*[F.max((F.col("role") == r).cast("int")).alias(r) for r in ("id", "secret", "endpoint")])
     enough = F.lit(False)
     for kind, needs in NEEDS.items():
