@@ -272,28 +272,90 @@ def test_base_scores_and_code_lengths(spark, docs):
         r = rows[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, held[i])
         assert abs(r.base_score - sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)) < 1e-6
-    code, _ = ppm.contexts(*pack(["abracadabra", "abra"]))
-    k, m = np.unique(code, return_counts=True)
-    grams = [ppm.tally([(k & np.uint64((1 << (8 * (j + 1))) - 1), m)]) for j in range(ppm.ORDER)] + [(k, m)]
-    trie = ppm.Trie(grams)
-    for context in ("", "a", "abr", "zzz"):
-        probe = [bytes([*context.encode(), s]) for s in range(256) if s != ppm.PAD]
-        flat = np.zeros(len(probe), np.uint64)
-        for i, p in enumerate(probe):
-            for b in (bytes([ppm.PAD] * 6) + p)[-ppm.ORDER - 1 :]:
-                flat[i] = (flat[i] << np.uint64(8)) | np.uint64(b)
-        assert abs((10.0 ** trie.log10(flat)).sum() - 1) < 1e-6
-
-
-def test_code_lengths_equal_the_whole_trie(spark, docs):
-    rows = docs.limit(120).collect()
-    frame = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in ppm.score(frame).collect()}
-    code, _ = ppm.contexts(*pack([r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]))
+
+
+def plain_ppm(train, text):
+    """log10 of the probability of a text, by dictionaries: orders 0 to 5 with update exclusion, and 16 bytes where a word begins."""
+    def places(t):
+        b = bytes([ppm.PAD] * 16) + lower(t).encode() + bytes([ppm.END])
+        for i in range(16, len(b)):
+            yield [b[i - j : i] for j in range(6)] + ([b[i - 16 : i]] if b[i - 1] in b" \t\n\v\f\r" else []), b[i]
+
+    seen = [{} for _ in range(7)]
+    for t in train:
+        for ctx, s in places(t):
+            for j in range(5, len(ctx)):
+                row = seen[j].setdefault(ctx[j], Counter())
+                row[s] += 1
+    for j in range(4, -1, -1):
+        for c, row in seen[j + 1].items():
+            for s in row:
+                seen[j].setdefault(c[1:] if j else b"", Counter())[s] += 1
+    total = 0.0
+    for ctx, s in places(text):
+        out: set = set()
+        for j in range(len(ctx) - 1, -1, -1):
+            row = {k: n for k, n in seen[j].get(ctx[j], {}).items() if k not in out}
+            if row:
+                room = sum(row.values())
+                if s in row:
+                    total += math.log10((row[s] - ppm.DISCOUNT) / room)
+                    break
+                total += math.log10(ppm.DISCOUNT * len(row) / room)
+            out |= set(seen[j].get(ctx[j], {}))
+        else:
+            total -= math.log10(max(1, 255 - len(out)))
+    return total
+
+
+def test_code_lengths_equal_a_plain_ppm(spark, docs):
+    some = sorted(docs.where("length(text) < 1500").collect(), key=lambda r: r.doc_id)[:14]
+    texts = [r.text for r in some] + [some[0].text, "", None, "the cat  sat on\tthe mat the cat  sat on the mat", "the cat  sat on\tthe hat", "é 中文 é 中文x"]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    train = [t or "" for i, t in enumerate(texts) if not held(i)]
+    assert any(held(i) for i in got)
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain_ppm(train, t or "")) < 1e-4 * max(1, abs(got[i]))
+
+
+def test_probabilities_sum_to_one():
+    code, _, lead, h = ppm.contexts(*pack(["abra cadabra abra", "abra ca", "a long text of words and a long text of birds"]))
     k, m = np.unique(code, return_counts=True)
-    trie = ppm.Trie([ppm.tally([(k & np.uint64((1 << (8 * (j + 1))) - 1), m)]) for j in range(ppm.ORDER + 1)])
-    for r in rows:
-        assert abs(got[r.doc_id] - trie.log10(ppm.contexts(*pack([r.text]))[0]).sum()) < 1e-6
+    four = ppm.kinds_of(k, 4)
+    lower_ones = [four]
+    for j in (3, 2, 1, 0):
+        lower_ones.insert(0, ppm.kinds_of(lower_ones[0][0], j))
+    trie = ppm.Trie([*lower_ones, (k, m)])
+    symbols = np.array([s for s in range(256) if s != ppm.PAD], np.uint64)
+    for context in ("", "a", "abr", "zzz", "g te"):
+        head = np.uint64(int.from_bytes((bytes([ppm.PAD] * 5) + context.encode())[-5:], "big"))
+        assert abs((10.0 ** trie.log10((head << np.uint64(8)) | symbols)).sum() - 1) < 1e-6
+    for at in range(len(lead)):
+        every = (code[lead[at]] & ~np.uint64(255)) | symbols
+        logs, total = ppm.long_logs(trie, np.r_[code[lead], every], np.r_[h, np.full(len(every), h[at])], np.r_[np.ones(len(lead)), np.zeros(len(every))])
+        assert total[-1] > 0 and abs((10.0 ** logs[len(lead) :]).sum() - 1) < 1e-6
+
+
+def test_parts_do_not_depend_on_the_splits(spark):
+    docs = common.table(spark, D, "documents").select("doc_id", "text")
+    path = common.scratch_dir(spark) + "/tw-test-splits"
+    docs.union(docs.selectExpr("doc_id + 1000000", "concat(text, ' again')")).coalesce(1).write.mode("overwrite").option("parquet.block.size", 50_000).parquet(path)
+    rows = []
+    for n in ("1", "8"):
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", n)
+        try:
+            rows.append(sorted(map(tuple, ppm.score(spark.read.parquet(path)).collect())))
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert rows[0] == rows[1]
+
+
+def test_code_lengths_beat_the_base_on_held_out_rows(spark):
+    rows = ppm.score(common.table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    assert rows.s > rows.b
 
 
 def test_contexts_of_five_bytes_count(spark):

@@ -1,102 +1,159 @@
 """LM scoring: prediction by partial matching over bytes, with word counts of the whole training corpus beside it.
 
-The trie of byte contexts (orders 0 to 5) is counted over all training texts and kept whole, as hash arrays dealt by the
-two bytes before a symbol; each block of texts gets the code lengths of its own distinct contexts and symbols. A byte unseen in its longest context escapes to the next shorter one; bytes seen in the longer context are excluded there.
-The code length of a text is the sum over its bytes and one end symbol.
-
-Word counts are as large as the corpus, so they are never broadcast: texts are dealt into blocks of a few MB, each block
-gets the counts of its own distinct words through a window, and they meet the block again in a cogroup.
+The trie of byte contexts is counted over all training texts and kept whole: orders 0 to 5 at every byte and, at the first
+byte of a word, one long context of 16 bytes, which tells what the corpus has seen before from what it has not. A byte
+unseen in its longest context escapes to the next shorter one, with an absolute discount as escape estimate; bytes seen in
+the longer context are excluded there. Orders below 5 count a byte once for each longer context it followed (update
+exclusion). The code length of a text is the sum over its bytes and one end symbol.
+
+Nothing that grows with the corpus is broadcast. Texts are dealt into parts of a few MB by their place in the input, which
+no re-planning changes. A part's distinct codes go, packed, to the buckets that hold their contexts; code lengths come back
+and meet the texts again in a cogroup, as do the counts of the part's words.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textnum import LOWER, HashIndex, U, mix, span_hashes, sums, words
+from .textnum import LOWER, SPACE, HashIndex, U, mix, span_hashes, spread, sums, words
 
 ORDER = 5
+LONG = 16  # bytes before the first byte of a word
+DISCOUNT = 0.3
 END, PAD = 0xFF, 0xFE  # bytes that never occur in UTF-8: the end symbol and what precedes a text
-WORD, GRAM, PAIR = 0, 1, 2
+WORD, GRAM, LOW = 0, 1, 2
 #: Groups of contexts whose trie is built at once.
-BUCKETS = 256
+BUCKETS = 512
 CODEC = pa.Codec("zstd", 1)
-#: Input bytes of a block of texts. A block's words and texts must fit in one Python worker.
-SPLIT_BYTES = 16 << 20
+#: Bytes of text in a part, on average. A longer text than ALONE bytes is a part of its own.
+PART_BYTES, ALONE = 8 << 20, 1 << 20
+#: A word in more than a share 1/HOT of all (part, word) rows is hot; so at most HOT words are.
+HOT = 200_000
+_HELD = 1 << 32
+
+
+def order(code: np.ndarray, j: int) -> np.ndarray:
+    """The codes of order j (j bytes of context and the symbol) that these end in."""
+    return code & U((1 << (8 * (j + 1))) - 1)
 
 
-def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 6-byte code (context and symbol) of each byte and of each text's end; first code of each text."""
+def after_space(code: np.ndarray) -> np.ndarray:
+    return SPACE[((code >> U(8)) & U(0xFF)).astype(np.uint8)]
+
+
+def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The 6-byte code (context and symbol) of each byte and of each text's end; first code of each text; which codes
+    follow white space; 40-bit hashes of the long contexts of those."""
     texts = len(at) - 1
     first = at + np.arange(texts + 1)
-    flat = np.full(len(data) + texts * (ORDER + 1), PAD, np.uint64)
+    flat = np.full(len(data) + texts * (LONG + 1), PAD, np.uint8)
     size = np.diff(at)
-    begin = at[:-1] + np.arange(texts) * (ORDER + 1) + ORDER
+    begin = at[:-1] + np.arange(texts) * (LONG + 1) + LONG
     flat[np.arange(len(data)) + np.repeat(begin - at[:-1], size)] = LOWER[data]
     flat[begin + size] = END
+    place = np.arange(len(data) + texts) + np.repeat(np.arange(1, texts + 1) * LONG, size + 1)
     code = np.zeros(max(0, len(flat) - ORDER), np.uint64)
     for j in range(ORDER + 1):
-        code = (code << U(8)) | flat[j : len(flat) - ORDER + j]
-    real = np.ones(len(code), bool)
-    if texts > 1:  # windows that end in the padding before a text
-        real[(begin[1:, None] - np.arange(1, ORDER + 1)).reshape(-1) - ORDER] = False
-    return code[real], first
+        code <<= U(8)
+        code |= flat[j : j + len(code)]
+    code = code[place - ORDER]
+    lead = np.flatnonzero(after_space(code))
+    return code, first, lead, span_hashes(flat, place[lead] - LONG, place[lead]) >> U(24)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hashes(data, start, end) >> U(1)
+
+
+def long_ids(code: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of a long context, and of it with its symbol."""
+    context = mix(mix(code >> U(8)) + h)
+    return context, mix(context + (code & U(0xFF)) + U(1))
+
+
+def uses(keys: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (below 2**63), and how many uses of each are marked in `told`."""
+    both = np.sort((keys << U(1)) | told.astype(U))
+    keys = both >> U(1)
+    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat((both & U(1)).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
 
 
 def tally(parts: list) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([k for k, _ in parts])
     n = np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
+    at = np.argsort(keys)
+    keys, n = keys[at], n[at]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return keys[head], np.add.reduceat(n, head) if len(head) else n
 
 
+def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """tally() of parts that are sorted and distinct each."""
+    return parts[0] if len(parts) == 1 else tally(parts)
+
+
+def kinds_of(code: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Update exclusion: the codes of order j, each counted once for each of these distinct longer codes."""
+    return np.unique(order(code, j), return_counts=True)
+
+
+class Level:
+    """Codes of one order and their counts; per context: total, kinds, and what exclusion takes from the next shorter one."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, shorter: Level | None, j: int):
+        ctx, self.owner = np.unique(code >> U(8), return_inverse=True)
+        self.n = n.astype(np.float64)
+        self.index, self.ctx = HashIndex(code), HashIndex(ctx)
+        self.total = np.bincount(self.owner, self.n, len(ctx))
+        self.kinds = np.bincount(self.owner, minlength=len(ctx)).astype(float)
+        self.taken = np.zeros(len(ctx))
+        if shorter is not None:
+            self.taken = np.bincount(self.owner, shorter.n[shorter.index.find(order(code, j - 1))], len(ctx))
+
+
 class Trie:
-    """Per order: codes and counts; per context: total, kinds, and what exclusion takes from the next shorter one."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = []
-        for j, (code, n) in enumerate(grams):
-            ctx, group = np.unique(code >> U(8), return_inverse=True)
-            n = n.astype(np.float64)
-            total, kinds = np.bincount(group, n, len(ctx)), np.bincount(group, minlength=len(ctx)).astype(float)
-            taken = np.zeros(len(ctx))
-            if j:
-                shorter = self.levels[j - 1]
-                at = shorter["index"].find(code & U((1 << (8 * j)) - 1))
-                taken = np.bincount(group, np.where(at >= 0, shorter["n"][np.maximum(at, 0)], 0), len(ctx))
-            self.levels.append({"index": HashIndex(code), "n": n, "ctx": HashIndex(ctx), "total": total, "kinds": kinds, "taken": taken, "owner": group})
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
+    """Levels 0 to ORDER. `base`: levels shared with other tries; the rest is built on top."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], base: list[Level] = ()):
+        self.levels = list(base)
+        for j, (code, n) in enumerate(grams, len(self.levels)):
+            self.levels.append(Level(code, n, self.levels[-1] if j else None, j))
+
+    def log10(self, code: np.ndarray, taken: np.ndarray | float = 0.0, kinds: np.ndarray | float = 0.0) -> np.ndarray:
+        """log10 of each code's probability; `taken` and `kinds`: what a longer context excludes from the highest order."""
         out = np.zeros(len(code))
         todo = np.arange(len(code))
-        taken, kinds = np.zeros(len(code)), np.zeros(len(code))
+        taken, kinds = np.zeros(len(code)) + taken, np.zeros(len(code)) + kinds
         for j in range(len(self.levels) - 1, -1, -1):
             lv = self.levels[j]
-            q = code[todo] & U((1 << (8 * (j + 1))) - 1)
-            at = lv["index"].find(q)
+            q = order(code[todo], j)
+            at = lv.index.find(q)
             hit = at >= 0
             owner = np.full(len(q), -1, np.int64)
-            owner[hit] = lv["owner"][at[hit]]
+            owner[hit] = lv.owner[at[hit]]
             miss = np.flatnonzero(~hit)
-            owner[miss] = lv["ctx"].find(q[miss] >> U(8))
+            owner[miss] = lv.ctx.find(q[miss] >> U(8))
             known = owner >= 0
             own = np.maximum(owner, 0)
-            some = len(lv["total"]) > 0
-            t = np.where(known, lv["total"][own] if some else 0, 0) - taken[todo]
-            d = np.where(known, lv["kinds"][own] if some else 0, 0) - kinds[todo]
-            room = np.maximum(t, 1e-12)  # escape estimate D: half a count of each kind is left for new symbols
-            out[todo[hit]] += np.log10((lv["n"][at[hit]] - 0.5) / room[hit])
+            some = len(lv.total) > 0
+            t = np.where(known, lv.total[own] if some else 0, 0) - taken[todo]
+            d = np.where(known, lv.kinds[own] if some else 0, 0) - kinds[todo]
+            room = np.maximum(t, 1e-12)
+            out[todo[hit]] += np.log10((lv.n[at[hit]] - DISCOUNT) / room[hit])
             esc = ~hit & known & (d > 0)
-            out[todo[esc]] += np.log10(0.5 * d[esc] / room[esc])
+            out[todo[esc]] += np.log10(DISCOUNT * d[esc] / room[esc])
             gone = ~hit & known
-            taken[todo[gone]] = lv["taken"][own[gone]]
-            kinds[todo[gone]] = lv["kinds"][own[gone]]
+            taken[todo[gone]] = lv.taken[own[gone]]
+            kinds[todo[gone]] = lv.kinds[own[gone]]
             todo = todo[~hit]
             if not len(todo):
                 return out
@@ -104,44 +161,118 @@ class Trie:
         return out
 
 
-def blocked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, held_out and `part`: the input split and, for large splits, a share of it. Both scans agree on it."""
-    if not docs.inputFiles():
+def long_logs(trie: Trie, code: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For uses of long contexts (n: of each entry in training texts, perhaps 0; an entry may recur): log10 of the probability,
+    and the total of the context. A context without uses has no log."""
+    context, whole = long_ids(code, h)
+    used = n > 0
+    one, at, group = np.unique(whole[used], return_index=True, return_inverse=True)
+    count = np.bincount(group, n[used], len(one))
+    ctx, owner = np.unique(context[used][at], return_inverse=True)
+    total, kinds = np.bincount(owner, count, len(ctx)), np.bincount(owner, minlength=len(ctx)).astype(float)
+    top = trie.levels[-1]
+    taken = np.bincount(owner, top.n[top.index.find(code[used][at])], len(ctx)) if len(one) else np.zeros(0)
+    own, found = HashIndex(ctx).find(context), HashIndex(one).find(whole)
+    out, totals = np.zeros(len(code)), np.zeros(len(code))
+    hit = found >= 0
+    out[hit] = np.log10((count[found[hit]] - DISCOUNT) / total[own[hit]])
+    esc = np.flatnonzero(~hit & (own >= 0))
+    o = own[esc]
+    out[esc] = np.log10(DISCOUNT * kinds[o] / total[o]) + trie.log10(code[esc], taken[o], kinds[o])
+    totals[own >= 0] = total[own[own >= 0]]
+    return out, totals
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return CODEC.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), asbytes=True)
+
+
+def loosened(blob, size: int, dtype) -> np.ndarray:
+    wide = np.dtype(dtype).itemsize
+    raw = np.frombuffer(CODEC.decompress(blob.as_buffer() if hasattr(blob, "as_buffer") else blob, wide * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(wide, size).T).reshape(-1).view(dtype)
+
+
+def steps(codes: np.ndarray) -> np.ndarray:
+    """Sorted codes as their differences, which pack better."""
+    return np.diff(codes, prepend=U(0))
+
+
+def bucket_of(code: np.ndarray) -> np.ndarray:
+    """Contexts are dealt by their last three bytes, and by the last four where a word begins."""
+    key = np.where(after_space(code), order(code >> U(8), 3), order(code >> U(8), 2) + U(1 << 40))
+    return (mix(key) % U(BUCKETS)).astype(np.int64)
+
+
+def blocked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, held_out and `part`, and about how many parts there are. A part is a run of rows of an input file,
+    so every scan agrees on it however the input is split."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:  # not a plain scan of Parquet files
         docs = common.materialize(docs.select("doc_id", "text"))
-    shares = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / F.lit(SPLIT_BYTES)).cast("int"))
-    share = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), shares)
-    part = F.xxhash64(F.input_file_name(), F.input_file_block_start(), share)
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    run = max(1, rows * PART_BYTES // max(1, size))
+    row = F.col("_metadata.row_index")
+    part = F.xxhash64("_metadata.file_path", F.when(F.octet_length("text") > ALONE, -1 - row).otherwise(F.floor(row / F.lit(run))))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"), part.alias("part"))
+    return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"), part.alias("part")), max(1, size // PART_BYTES)
+
+
+COUNTS = "kind int, part long, code long, n long, m long, codes binary, counts binary, longs binary, uses binary"
 
 
 def count(blocks: DataFrame) -> DataFrame:
-    """One scan: (kind, part, code, n, codes, counts), n and counts being uses in training texts, perhaps 0. WORD: a distinct
-    word of a part. PAIR: a distinct code of two bytes. GRAM: n distinct 6-byte codes of a part, and `code` their bucket."""
+    """One scan; counts are uses in training texts, perhaps 0. WORD: a distinct word of a part (code) and its count (n).
+    GRAM: n distinct codes of a part in one bucket (code), m long contexts with symbols: place of the code among the n, then the
+    hash. LOW: distinct codes of training texts of order 3 (n), and of order 4 where a word begins (m), dealt by what they end in."""
     blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
 
-    def batch(kind, part, code, n, codes=None, counts=None):
-        blob = lambda x: pa.array(x, pa.binary()) if x is not None else pa.nulls(len(code), pa.binary())
-        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(code), kind, np.int32)), "part": pa.array(np.full(len(code), part, np.int64)), "code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64()), "codes": blob(codes), "counts": blob(counts)})
+    def batch(kind, part, code, n, m=None, **blobs):
+        column = lambda x: pa.array(x, pa.binary()) if x is not None else pa.nulls(len(code), pa.binary())
+        whole = {"kind": pa.array(np.full(len(code), kind, np.int32)), "part": pa.array(np.full(len(code), part, np.int64)), "code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64()), "m": pa.array(m if m is not None else np.zeros(len(code), np.int64), pa.int64())}
+        return pa.RecordBatch.from_pydict(whole | {k: column(blobs.get(k)) for k in ("codes", "counts", "longs", "uses")})
+
+    def by_bucket(bucket, size):
+        at = np.argsort(bucket.astype(np.uint16), kind="stable")
+        return at, np.r_[0, np.cumsum(np.bincount(bucket, minlength=size))]
+
+    def packed(part, grams, longs):
+        keys, n = merged(grams)
+        bucket = bucket_of(keys)
+        at, cut = by_bucket(bucket, BUCKETS)
+        rank = np.empty(len(keys), np.int64)
+        rank[at] = np.arange(len(keys)) - np.repeat(cut[:-1], np.diff(cut))
+        code, h, v = (np.concatenate(x) for x in zip(*longs, strict=True))
+        where = HashIndex(keys).find(code)
+        sort = np.argsort((where.astype(U) << U(40)) | h)
+        where, h, v = where[sort], h[sort], v[sort]
+        head = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+        where, h, v = where[head], h[head], np.add.reduceat(v, head) if len(head) else v
+        to, cut2 = by_bucket(bucket[where], BUCKETS)
+        own = ((rank[where].astype(U) << U(40)) | h)[to]
+        v = (((v & (_HELD - 1)) << 1) | (v >= _HELD))[to]
+        key = [squeezed(own[cut2[b] : cut2[b + 1]]) for b in range(BUCKETS)]
+        use = [squeezed(v[cut2[b] : cut2[b + 1]]) for b in range(BUCKETS)]
+        deal = np.diff(cut2)
+        some = np.flatnonzero(np.diff(cut))
+        cuts = [at[cut[b] : cut[b + 1]] for b in some]
+        yield batch(GRAM, part, some, np.diff(cut)[some], deal[some], codes=[squeezed(steps(keys[x])) for x in cuts], counts=[squeezed(n[x]) for x in cuts], longs=[key[b] for b in some], uses=[use[b] for b in some])
+        used = keys[n > 0]
+        three, four = np.unique(order(used, 3)), np.unique(order(used[after_space(used)], 4))
+        (a, c3), (b, c4) = by_bucket((mix(order(three, 2)) % U(16)).astype(np.int64), 16), by_bucket((mix(order(four, 3)) % U(16)).astype(np.int64), 16)
+        part3, part4 = [three[a[c3[i] : c3[i + 1]]] for i in range(16)], [four[b[c4[i] : c4[i + 1]]] for i in range(16)]
+        yield batch(LOW, part, np.arange(16), [len(x) for x in part3], [len(x) for x in part4], codes=[squeezed(steps(x)) for x in part3], longs=[squeezed(steps(x)) for x in part4])
 
     def run(batches):
         held: dict = {}
 
         def flush():
-            for (kind, part), parts in sorted(held.items()):
-                keys, n = tally(parts)
-                if kind == GRAM:
-                    pairs = shorter(keys, n, 1)
-                    yield batch(PAIR, part, pairs[0][pairs[1] > 0].view(np.int64), pairs[1][pairs[1] > 0])
-                    bucket = (mix((keys >> U(8)) & U(0xFFFF)) % U(BUCKETS)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    ids, begin = np.unique(bucket[order], return_index=True)
-                    cut = lambda x: [squeezed(y) for y in np.split(x[order], begin[1:])] if len(ids) else []
-                    yield batch(GRAM, part, ids, np.diff(np.r_[begin, len(keys)]), cut(keys), cut(n))
-                    continue
+            for part, (seen, grams, longs) in sorted(held.items()):
+                keys, n = merged(seen)
                 for a in range(0, len(keys), 1 << 16):
-                    k = keys[a : a + (1 << 16)]
-                    yield batch(kind, part, k.view(np.int64), n[a : a + (1 << 16)])
+                    yield batch(WORD, part, keys[a : a + (1 << 16)].view(np.int64), n[a : a + (1 << 16)])
+                yield from packed(part, grams, longs)
             held.clear()
 
         size = 0
@@ -149,65 +280,118 @@ def count(blocks: DataFrame) -> DataFrame:
             owner = rows.column(3).to_numpy()
             train = ~rows.column(2).fill_null(False).to_numpy(zero_copy_only=False)
             start, end, first = words(LOWER[data], at)
-            hashes = span_hashes(LOWER[data], start, end)
+            hashes = word_hashes(LOWER[data], start, end)
             text_of = np.repeat(np.arange(len(owner)), np.diff(first))
-            code, code_at = contexts(data, at)
+            code, code_at, lead, h = contexts(data, at)
             code_of = np.repeat(np.arange(len(owner)), np.diff(code_at))
             for part in np.unique(owner):
-                here = owner[text_of] == part
-                got = tally([(hashes[here], train[text_of[here]].astype(np.int64))])
-                held.setdefault((WORD, part), []).append(got)
-                here = owner[code_of] == part
-                grams = tally([(code[here], train[code_of[here]].astype(np.int64))])
-                held.setdefault((GRAM, part), []).append(grams)
-                size += len(got[0]) + len(grams[0])
-            if size > 6_000_000:
-                for key, parts in held.items():
-                    held[key] = [tally(parts)]
-                size = sum(len(p[0][0]) for p in held.values())
-                if size > 3_000_000:
+                if held and part not in held:  # parts follow each other in a file: this one's turn is over
                     yield from flush()
                     size = 0
+                seen, grams, longs = held.setdefault(part, ([], [], []))
+                here = owner[text_of] == part
+                seen.append(uses(hashes[here], train[text_of[here]]))
+                here = owner[code_of] == part
+                grams.append(uses(code[here], train[code_of[here]]))
+                here = lead[owner[code_of[lead]] == part]
+                longs.append((code[here], h[owner[code_of[lead]] == part], np.where(train[code_of[here]], 1, _HELD)))
+                size += len(seen[-1][0]) + len(grams[-1][0]) + len(here)
+            if size > 8_000_000:
+                yield from flush()
+                size = 0
         yield from flush()
 
-    return blocks.mapInArrow(run, "kind int, part long, code long, n long, codes binary, counts binary")
+    return blocks.mapInArrow(run, COUNTS)
 
 
-def shorter(code: np.ndarray, n: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of order j that these end in, and their counts."""
-    return tally([(code & U((1 << (8 * (j + 1))) - 1), n)])
+def low_counts(counts: DataFrame) -> list:
+    """Counts of orders 0 to 2, and of order 3 where a word begins: what every bucket needs. At most 2**24 codes of three
+    bytes and as many of four that follow white space, whatever the size of the corpus."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        out = []
+        for j, (size, blob) in ((2, ("n", "codes")), (3, ("m", "longs"))):
+            longer = np.unique(np.concatenate([np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(rows.column(blob), rows.column(size).to_pylist(), strict=True)]))
+            code, n = kinds_of(longer, j)
+            out.append(pa.table({"j": pa.array(np.full(len(code), j, np.int32)), "code": pa.array(code.view(np.int64)), "n": pa.array(n)}))
+        return pa.concat_tables(out)
 
-def squeezed(values: np.ndarray) -> bytes:
-    return CODEC.compress(values.tobytes(), asbytes=True)
+    got = counts.where(F.col("kind") == LOW).groupBy("code").applyInArrow(run, "j int, code long, n long").toArrow()
+    j, code, n = (got.column(i).to_numpy() for i in range(3))
+    two, three = (tally([(code[j == i].view(U), n[j == i])]) for i in (2, 3))
+    one = kinds_of(two[0], 1)
+    return [kinds_of(one[0], 0), one, two, three]
 
 
-def loosened(blobs: pa.ChunkedArray, sizes: np.ndarray, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(CODEC.decompress(x.as_buffer(), 8 * int(k), asbytes=True), dtype) for x, k in zip(blobs, sizes, strict=True)]
+_bases: dict = {}
 
 
-def code_lengths(counts: DataFrame) -> DataFrame:
-    """(part, n, codes, logs): the log10 probability of each code that a part uses, under the trie of all training texts.
+def base_levels(name: str, low: list) -> list[Level]:
+    """Levels 0 to 2, built once per worker."""
+    if name not in _bases:
+        _bases.clear()
+        _bases[name] = Trie(low[:3]).levels
+    return _bases[name]
 
-    Every context of two bytes or more lies with all that follows it in one bucket, whole: nothing is pruned. Only the
-    counts of one and two bytes, at most 65,792, go to all buckets.
-    """
-    pairs = counts.where(F.col("kind") == PAIR).groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    pairs = tally([(pairs.column("code").to_numpy().view(U), pairs.column("n").to_numpy())])
-    low = counts.sparkSession.sparkContext.broadcast([shorter(*pairs, 0), pairs])
 
-    def run(rows: pa.Table) -> pa.Table:
-        sizes = rows.column("n").to_numpy()
-        codes = loosened(rows.column("codes"), sizes, U)
-        code, n = tally([*zip(codes, loosened(rows.column("counts"), sizes, np.int64), strict=True)])
-        used = n > 0
-        trie = Trie([*low.value, *(shorter(code[used], n[used], j) for j in range(2, ORDER)), (code[used], n[used])])
-        log = np.concatenate([trie.log10(code[i : i + (1 << 20)]) for i in range(0, len(code), 1 << 20)])
-        logs = [squeezed(log[np.searchsorted(code, x)]) for x in codes]
-        return pa.table({"part": rows.column("part"), "n": rows.column("n"), "codes": rows.column("codes"), "logs": pa.array(logs, pa.binary())})
+def bucket_trie(code: np.ndarray, n: np.ndarray, asked: np.ndarray, base: list[Level], begun: tuple[np.ndarray, np.ndarray]) -> Trie:
+    """The trie over one bucket's distinct codes, to be asked for the codes `asked`; `begun`: counts of order 3 where words
+    begin, which span buckets."""
+    four = kinds_of(code, 4)
+    plain = kinds_of(four[0], 3)
+    inner = ~after_space(plain[0])
+    want = np.unique(order(asked[after_space(asked)], 3) >> U(8))
+    a, b = np.searchsorted(begun[0], want << U(8)), np.searchsorted(begun[0], (want + U(1)) << U(8))
+    group, place = spread(b - a)
+    some = a[group] + place
+    three = tally([(plain[0][inner], plain[1][inner]), (begun[0][some], begun[1][some])])
+    return Trie([three, four, (code, n)], base)
+
 
-    grams = counts.where(F.col("kind") == GRAM).select("part", F.col("code").alias("bucket"), "n", "codes", "counts")
-    return grams.repartition(BUCKETS, "bucket").groupBy("bucket").applyInArrow(run, "part long, n long, codes binary, logs binary")
+def code_lengths(counts: DataFrame) -> DataFrame:
+    """(part, n, m, codes, logs, longs, uses): log10 of the probability of each code that a part uses, under the trie of all
+    training texts. Of its long contexts those come back that another use in the corpus tells something about."""
+    spark = counts.sparkSession
+    low = spark.sparkContext.broadcast(low_counts(counts))
+    name = uuid.uuid4().hex
+
+    def run(rows: pa.Table) -> pa.Table:
+        n, m = rows.column("n").to_pylist(), rows.column("m").to_pylist()
+        codes = [np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(rows.column("codes"), n, strict=True)]
+        code, c = tally([*zip(codes, [loosened(x, k, np.int64) for x, k in zip(rows.column("counts"), n, strict=True)], strict=True)])
+        used = c > 0
+        trie = bucket_trie(code[used], c[used], code, base_levels(name, low.value), low.value[3])
+        log = np.concatenate([trie.log10(code[i : i + (1 << 20)]) for i in range(0, len(code), 1 << 20)]).astype(np.float32)
+        keys = [loosened(x, k, U) for x, k in zip(rows.column("longs"), m, strict=True)]
+        uses = [loosened(x, k, np.int64) for x, k in zip(rows.column("uses"), m, strict=True)]
+        own = np.concatenate([x[(k >> U(40)).astype(np.int64)] for x, k in zip(codes, keys, strict=True)])
+        use = np.concatenate(uses)
+        long, total = long_logs(trie, own, np.concatenate(keys) & U((1 << 40) - 1), (use >> 1).astype(float))
+        told = (total > 0) & ~((use == 2) & (total == 1))
+        at = np.r_[0, np.cumsum(m)]
+        pick = [np.flatnonzero(told[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({
+            "part": rows.column("part"), "n": rows.column("n"), "m": pa.array([len(x) for x in pick], pa.int64()), "codes": rows.column("codes"),
+            "logs": pa.array([squeezed(log[np.searchsorted(code, x)]) for x in codes], pa.binary()),
+            "longs": pa.array([squeezed(k[x]) for k, x in zip(keys, pick, strict=True)], pa.binary()),
+            "uses": pa.array([squeezed(long[a + x].astype(np.float32)) for a, x in zip(at[:-1], pick, strict=True)], pa.binary()),
+        })
+
+    grams = counts.where(F.col("kind") == GRAM).select("part", F.col("code").alias("bucket"), "n", "m", "codes", "counts", "longs", "uses")
+    return grams.groupBy("bucket").applyInArrow(run, "part long, n long, m long, codes binary, logs binary, longs binary, uses binary")
+
+
+def word_counts(counts: DataFrame) -> tuple[DataFrame, int, int]:
+    """(part, code, n) with the corpus count of each known word of each part; uses and kinds of words in all.
+
+    Sums are combined before they are shuffled. A word of very many parts joins by a broadcast, so no task gets all its rows."""
+    own = counts.where(F.col("kind") == WORD).select("part", "code", "n")
+    whole = common.materialize(own.groupBy("code").agg(F.sum("n").alias("c"), F.count("*").alias("parts")).where("c > 0"))
+    uses, kinds, rows = whole.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("parts"), F.lit(0))).first()
+    hot = whole.where(F.col("parts") > rows / HOT).where("parts > 8").select("code", F.col("c").alias("n"))  # HOT rows at most
+    own = own.select("part", "code")
+    cold = own.join(F.broadcast(hot), "code", "left_anti").join(whole.select("code", F.col("c").alias("n")).hint("merge"), "code")
+    return own.join(F.broadcast(hot), "code").unionByName(cold).select("part", "code", "n"), uses, kinds
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -216,49 +400,57 @@ def score(docs: DataFrame) -> DataFrame:
     Null texts count as empty: one end token and one end symbol. Repeated rows are scored each; a null doc_id belongs to
     the training rows and has a null held_out; other columns are ignored. Without training rows every byte is uniform.
     """
-    blocks = blocked(docs)
+    blocks, parts = blocked(docs)
     counts = common.materialize(count(blocks))
-    # A word has a row for each part that uses it, so a window over the word meets no more rows than there are parts.
-    word = Window.partitionBy("code").orderBy("part")
-    known = counts.where(F.col("kind") == WORD).select("part", "code", "n")
-    whole = word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    known = known.select("part", "code", "n", F.sum("n").over(whole).alias("c"), (F.row_number().over(word) == 1).alias("first"))
-    known = common.materialize(known.where("c > 0"))
-    n_words, n_kinds = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("first")).first()
+    known, n_words, n_kinds = word_counts(counts)
     ends = docs.select((F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("h")).where("h is null or not h").count()
-    answers = known.select("part", "code", F.col("c").alias("n")).unionByName(code_lengths(counts), allowMissingColumns=True)
+    answers = known.unionByName(code_lengths(counts), allowMissingColumns=True)
     tokens, kinds = n_words + ends, n_kinds + (ends > 0)
+    alone = np.log10(1 - DISCOUNT)  # a long context seen once, in this very place
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         grams = known.filter(pc.is_valid(known.column("codes")))
         known = known.filter(pc.is_null(known.column("codes")))
-        sizes = grams.column("n").to_numpy()
-        codes = np.concatenate([*loosened(grams.column("codes"), sizes, U), np.zeros(0, U)])
-        logs = np.concatenate([*loosened(grams.column("logs"), sizes, np.float64), np.zeros(0)])
-        codes, one = np.unique(codes, return_index=True)
+        n, m = grams.column("n").to_pylist(), grams.column("m").to_pylist()
+        codes = [np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(grams.column("codes"), n, strict=True)]
+        keys = [loosened(x, k, U) for x, k in zip(grams.column("longs"), m, strict=True)]
+        begun = np.concatenate([*[x[(k >> U(40)).astype(np.int64)] for x, k in zip(codes, keys, strict=True)], np.zeros(0, U)])
+        _, ids = long_ids(begun, np.concatenate([*keys, np.zeros(0, U)]) & U((1 << 40) - 1))
+        long_log = np.concatenate([*[loosened(x, k, np.float32) for x, k in zip(grams.column("uses"), m, strict=True)], np.zeros(0, np.float32)]).astype(float)
+        logs = np.concatenate([*[loosened(x, k, np.float32) for x, k in zip(grams.column("logs"), n, strict=True)], np.zeros(0, np.float32)]).astype(float)
+        codes, one = np.unique(np.concatenate([*codes, np.zeros(0, U)]), return_index=True)
         trie, logs = HashIndex(codes), logs[one]
+        ids, one = np.unique(ids, return_index=True)
+        told, long_log = HashIndex(ids), long_log[one]
         index = HashIndex(known.column("code").to_numpy().view(U))
         c = np.r_[known.column("n").to_numpy(), 0].astype(float)
         log = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
         log_end = float(np.log10((ends + 0.5) / (tokens + 0.5 * (kinds + 1))))
         out = []
         for rows, data, at in common.blocks(texts.combine_chunks().to_batches(), "text"):
+            held = rows.column(rows.schema.get_field_index("held_out"))
             start, end, first = words(LOWER[data], at)
-            found = index.find(span_hashes(LOWER[data], start, end))
-            code, code_at = contexts(data, at)
+            found = index.find(word_hashes(LOWER[data], start, end))
+            code, code_at, lead, h = contexts(data, at)
             place = trie.find(code)
             if (place < 0).any():
                 raise ValueError("a part's texts differ between the two scans")
+            each = logs[place]
+            at_long = told.find(long_ids(code[lead], h)[1])
+            train = ~held.fill_null(False).to_numpy(zero_copy_only=False)
+            own = train[np.searchsorted(code_at, lead, "right") - 1]
+            each[lead] = np.where(at_long >= 0, np.r_[long_log, 0.0][at_long], np.where(own, alone, each[lead]))
             n = np.diff(first) + 1
             out.append(pa.RecordBatch.from_pydict({
-                "doc_id": rows.column(rows.schema.get_field_index("doc_id")), "held_out": rows.column(rows.schema.get_field_index("held_out")), "n_tokens": pa.array(n),
+                "doc_id": rows.column(rows.schema.get_field_index("doc_id")), "held_out": held, "n_tokens": pa.array(n),
                 "n_known": pa.array(sums(found >= 0, first).astype(np.int64) + (ends > 0)), "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
-                "base_score": pa.array(sums(log[found], first) + log_end), "score": pa.array(sums(logs[place], code_at)),
+                "base_score": pa.array(sums(log[found], first) + log_end), "score": pa.array(sums(each, code_at)),
             }))
         return pa.Table.from_batches(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return blocks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    wide = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.repartition(wide, "part").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
