@@ -16,6 +16,7 @@ from . import common
 
 WIDTH, STRIDE = 8, 2
 HALF = 128  # bytes in half a chunk: chunks of 256 start at every 128th byte
+OVER = WIDTH // STRIDE - 1  # windows of a half that run over its end
 
 
 class Net:
@@ -34,14 +35,16 @@ class Net:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def halves(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Padded codes (whole halves and WIDTH more) to the largest response of each filter in each half, and where."""
+    def halves(self, codes: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Padded codes (whole halves and WIDTH more) to the largest response of each filter in each half. Windows that run over
+        the end of a text's last half see the next text, so they don't count."""
         p, n = self.p, (len(codes) - WIDTH) // HALF
         e = p["emb"][codes].reshape(-1)
         dim = p["emb"].shape[1]
         view = np.lib.stride_tricks.as_strided(e, (n * HALF // STRIDE, WIDTH * dim), (STRIDE * dim * 4, 4))
         out = (np.ascontiguousarray(view) @ p["conv"]).reshape(n, HALF // STRIDE, -1)
-        return out.max(1), out
+        out[last, -OVER:] = -np.inf
+        return out.max(1)
 
     def head(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = self.p
@@ -49,6 +52,18 @@ class Net:
         h = np.maximum(a @ p["w1"] + p["b1"], 0)
         return h @ p["w2"] + p["b2"], h, a
 
+    def frozen(self) -> Net:
+        """Weights rounded to binary fractions short enough for every sum to be exact (filters: products are multiples of
+        2**-12 that sum to less than 2**12; head: in double precision). A result then depends neither on the order of a sum
+        nor on the texts beside it."""
+        out = Net.__new__(Net)
+        kinds = {"emb": (5, np.float32), "conv": (7, np.float32), "cb": (12, np.float32)}
+        out.p = {}
+        for k, v in self.p.items():
+            bits, kind = kinds.get(k, (10, np.float64))
+            out.p[k] = (np.round(v.astype(np.float64) * 2**bits) / 2**bits).astype(kind)
+        return out
+
 
 def layout(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts padded to whole halves, one after another, and the first half of each (one more than texts)."""
@@ -73,7 +88,9 @@ def chunks(half: np.ndarray, first: np.ndarray) -> np.ndarray:
 def logits(net: Net, data: np.ndarray, at: np.ndarray, piece: int = 1024) -> np.ndarray:
     """Defect logit of each text's every chunk, and the first chunk of each text."""
     codes, first = layout(data, at)
-    half = np.concatenate([net.halves(codes[i * HALF : min(first[-1], i + piece) * HALF + WIDTH])[0] for i in range(0, first[-1], piece)])
+    last = np.zeros(first[-1], bool)
+    last[first[1:] - 1] = True
+    half = np.concatenate([net.halves(codes[i * HALF : min(first[-1], i + piece) * HALF + WIDTH], last[i : i + piece]) for i in range(0, first[-1], piece)])
     return net.head(chunks(half, first))[0], first
 
 
@@ -91,7 +108,7 @@ def train(rows: list, epochs: int = 8, batch: int = 64, steps: int = 480, rate:
     net = Net()
     rows = [(t.encode(), y) for t, y in rows if t]
     if not rows:
-        return net
+        return net.frozen()
     data = np.frombuffer(b"".join(t for t, _ in rows), np.uint8)
     at = np.r_[0, np.cumsum([len(t) for t, _ in rows])]
     bad = np.array([1 - y for _, y in rows], np.float32)
@@ -103,7 +120,7 @@ def train(rows: list, epochs: int = 8, batch: int = 64, steps: int = 480, rate:
     pools = [np.flatnonzero(bad == 1), np.flatnonzero(bad == 0)]
     if not all(len(x) for x in pools):
         net.p["b2"][:] = -4.0 if len(pools[1]) else 4.0
-        return net
+        return net.frozen()
     worst = None
     dim = net.p["emb"].shape[1]
     for step in range(steps):
@@ -129,6 +146,9 @@ def train(rows: list, epochs: int = 8, batch: int = 64, steps: int = 480, rate:
         view = np.lib.stride_tricks.as_strided(e, (len(chunk) * 2, n, WIDTH * dim), (e.strides[0], STRIDE * dim * 4, 4))
         x = np.ascontiguousarray(view).reshape(len(chunk), 2 * n, WIDTH * dim)
         resp = x @ net.p["conv"]
+        end = first[owner + 1] - 1
+        resp[chunk == end, n - OVER : n] = -np.inf
+        resp[second == end, 2 * n - OVER :] = -np.inf
         arg = resp.argmax(1)
         pooled = np.take_along_axis(resp, arg[:, None], 1)[:, 0]
         z, h, a = net.head(pooled)
@@ -152,7 +172,7 @@ def train(rows: list, epochs: int = 8, batch: int = 64, steps: int = 480, rate:
             m[k] += 0.1 * (gk - m[k])
             v[k] += 0.01 * (gk * gk - v[k])
             net.p[k] -= lr * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k] / (1 - 0.99 ** (step + 1))) + 1e-7)
-    return net
+    return net.frozen()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 6_000_000) -> Net:
@@ -162,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
 
 def score(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Null and empty texts count as one empty chunk; a null doc_id has
-    a null held_out. Repeated rows are scored alike; other columns are ignored. No shuffle."""
+    a null held_out. A score depends on the text alone, so equal texts and repeated rows have equal scores; other columns are
+    ignored. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights
 
     def make():
