@@ -80,19 +80,37 @@ def test_tokens_equal_the_library():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
-def test_classifiers_on_held_out_rows(spark):
-    for name, label in (("op1_quality", "quality"), ("op9_toxicity", "toxic")):
-        rows = {r.doc_id: r for r in queries.queries()[name](spark, D).collect()}
-        truth = {r.doc_id: r[label] for r in common.table(spark, D, "labels").collect()}
-        right = [rows[i].predicted == y for i, y in truth.items() if rows[i].held_out]
-        assert np.mean(right) > 0.7
-        assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
-
-
-def test_language(spark, docs):
-    rows = {r.doc_id: r for r in queries.queries()["op5_language_id"](spark, D).collect()}
-    held = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
-    assert np.mean([rows[r.doc_id].lang_pred == r.lang for r in held]) > 0.9
+@pytest.mark.parametrize(("name", "label"), [("op1_quality", "quality"), ("op9_toxicity", "toxic")])
+def test_classifiers_on_held_out_rows(spark, name, label):
+    sf = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in queries.queries()[name](spark, sf).collect()}
+    truth = {r.doc_id: r[label] for r in common.table(spark, sf, "labels").collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
+    held = [(rows[i].predicted, y) for i, y in truth.items() if rows[i].held_out]
+    rare = int(np.mean([y for _, y in held]) < 0.5)
+    caught = sum(p == y == rare for p, y in held)
+    majority = np.mean([y != rare for _, y in held])
+    assert caught > 0.8 * sum(y == rare for _, y in held) and caught > 0.8 * sum(p == rare for p, _ in held)
+    assert np.mean([p == y for p, y in held]) > majority + 0.5 * (1 - majority)
+
+
+def test_classifiers_score_a_text_alone(spark):
+    texts = [r.text or "" for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("text").limit(400).collect()] + [t or "" for _, t in ODD]
+    rng = np.random.default_rng(2)
+    net, model = quality.Net().frozen(), toxicity.Model(12, 3, rng.normal(0, 3, 1 << 12), 0.1, 0.01)
+    for f in (lambda *x: quality.predict(net, *x), lambda *x: model.predict(*x)):
+        together = f(*pack(texts))
+        assert (together == np.concatenate([f(*pack([t])) for t in texts])).all()
+        assert (together[::-1] == f(*pack(texts[::-1]))).all()
+        assert len({(t, float(s)) for t, s in zip(texts, together, strict=True)}) == len(set(texts))
+
+
+def test_language(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in queries.queries()["op5_language_id"](spark, sf).collect()}
+    truth = {r.doc_id: r.lang for r in common.table(spark, sf, "documents").select("doc_id", "lang").collect()}
+    held = [(rows[i].lang_pred, y) for i, y in truth.items() if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([p == y for p, y in held]) > 0.99 > max(Counter(y for _, y in held).values()) / len(held)
 
 
 def test_odd_rows(spark, odd, empty, docs):

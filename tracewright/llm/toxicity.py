@@ -1,7 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A passage of a few words is the average of the embeddings of its character n-grams; a linear softmax turns the average
-into a probability, and a document is as toxic as its worst passage. Unseen spellings share n-grams with seen ones.
+A passage of three words is the average of the embeddings of all its character n-grams; a linear softmax turns the average
+into a probability, and a document is as toxic as its worst passage. Unseen spellings share n-grams with seen ones. Longer
+passages dilute a toxic word: the README tells what they cost.
 """
 
 from __future__ import annotations
@@ -65,7 +66,9 @@ def passages(word_sum: np.ndarray, word_n: np.ndarray, word_at: np.ndarray, wind
 
 class Model:
     def __init__(self, bits: int, window: int, score: np.ndarray, bias: float, prior: float):
-        self.bits, self.window, self.score, self.bias, self.prior = bits, window, score.astype(np.float32), bias, prior
+        self.bits, self.window, self.bias, self.prior = bits, window, bias, prior
+        # Binary fractions, whose sums are exact: a passage's score doesn't depend on the texts beside it.
+        self.score = (np.round(score * 65536) / 65536).astype(np.float32)
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         keys, first, word_at = grams(data, at, self.bits)
@@ -93,7 +96,7 @@ def gather(data: list, bits: int, limit: int = 1 << 18) -> tuple[np.ndarray, np.
     return np.concatenate(keys), np.concatenate(first), np.concatenate(word_at)
 
 
-def train(rows: list, bits: int = 18, dim: int = 8, window: int = 1, epochs: int = 60, rate: float = 0.25, seed: int = 7) -> Model:
+def train(rows: list, bits: int = 18, dim: int = 8, window: int = 3, epochs: int = 60, rate: float = 0.25, seed: int = 7) -> Model:
     """Full-batch Adagrad on embeddings and softmax weights: first on averages over whole texts, then on worst passages."""
     if not rows:
         return Model(bits, window, np.zeros(1 << bits), -3.0, 0.05)
@@ -173,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Null, empty and blank texts get a low fixed score; a null
-    doc_id has a null held_out. Repeated rows are scored alike; other columns are ignored. No shuffle."""
+    doc_id has a null held_out. Equal texts and repeated rows have equal scores; other columns are ignored. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats, whatever the input's size
 
     def make():
