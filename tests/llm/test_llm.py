@@ -113,6 +113,43 @@ def test_language(spark):
     assert np.mean([p == y for p, y in held]) > 0.99 > max(Counter(y for _, y in held).values()) / len(held)
 
 
+def test_kneser_ney_equals_dictionaries():
+    langs = [["the cat sat on the mat. the hat", "Éa cat"], ["das haus ist alt, das ist das", "der hut 中文 𐐀𐐨"]]
+    model = langid.Model(["en", "de"], *langid.estimate([langid.characters(*pack(x)) for x in langs]))
+    fold_of = lambda t: [0, 0, 0, *langid.characters(*pack([t]))[0][3:].tolist()]
+    alphabet = len({c for x in langs for t in x for c in fold_of(t)}) + 1
+    for j, texts in enumerate(langs):
+        count = [Counter() for _ in range(5)]
+        for t in texts:
+            s = fold_of(t)
+            count[4].update(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
+        for n in (3, 2, 1):
+            count[n].update(g[1:] for g in count[n + 1])
+
+        def p(gram):
+            if not gram:
+                return 1 / alphabet
+            same = {g: c for g, c in count[len(gram)].items() if g[:-1] == gram[:-1]}  # noqa: B023
+            total = sum(same.values())
+            if not total:
+                return p(gram[1:])  # noqa: B023
+            return max(same.get(gram, 0) - 0.75, 0) / total + 0.75 * len(same) / total * p(gram[1:])  # noqa: B023
+
+        for t in ("the das haus", "zebra", "x", "中文 𐐀"):
+            s = fold_of(t)
+            want = -sum(math.log2(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) / (len(s) - 3)
+            assert abs(model.entropy(*pack([t]))[0][0, j] - want) < 1e-4
+    assert model.entropy(*pack(["a", "the das", ""]))[0][1].tolist() == model.entropy(*pack(["the das"]))[0][0].tolist()
+
+
+def test_samples_take_one_text_of_a_document(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(500)] + [(51, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(52)] + [(3, 0), (4, None)], "doc_id long, toxic int")
+    got = common.labelled(docs, labels, "toxic", 20, 10_000)
+    assert len(got) == 20 and got == common.labelled(docs.repartition(7), labels.repartition(3), "toxic", 20, 10_000)
+    assert len(common.labelled(docs, labels, "toxic", 20, 30)) <= 4 and common.labelled(docs, labels.limit(0), "toxic", 20, 30) == []
+
+
 def test_odd_rows(spark, odd, empty, docs):
     n = len(ODD)
     for frame, size in ((odd, n), (empty, 0)):
@@ -170,9 +207,33 @@ def test_fingerprints(spark, docs):
         half = len(r.text) // 2
         t = r.text[: len(r.text) - half] + nxt.text[:half]
         assert rows[r.doc_id].edited_sha256 == hashlib.sha256(t.encode()).hexdigest() and rows[r.doc_id].n_chars == len(r.text)
-    assert np.mean([r.near_edited > r.near_next for r in rows.values()]) > 0.95
-    a, b = fingerprint.sketch(b"abc" * 500 + b"one"), fingerprint.sketch(b"two" * 900)
+    assert np.mean([r.near_edited > r.near_next for r in rows.values()]) > 0.97
+    shingles = lambda t: {t.encode()[i : i + 12] for i in range(max(1, len(t.encode()) - 11))}
+    gaps = []
+    for r, nxt in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        a, b = shingles(r.text), shingles(r.text[: len(r.text) - len(r.text) // 2] + nxt.text[: len(r.text) // 2])
+        if min(len(a), len(b)) > 2000:
+            gaps.append(rows[r.doc_id].near_edited - len(a & b) / min(len(a), len(b)))
+    assert len(gaps) > 20 and max(map(abs, gaps)) < 0.15 and abs(np.mean(gaps)) < 0.02
+    a, b = (fingerprint.sketch(np.random.default_rng(i).bytes(2000)) for i in (1, 2))
     assert fingerprint.containment(a, fingerprint.merge(a, b)) == 1.0
+    assert (fingerprint.sketch(b"one two three four" * 9 + b"x" * 99) == fingerprint.merge(fingerprint.sketch(b"one two three four" * 9 + b"x" * 11), fingerprint.sketch(b"our" + b"x" * 99))).all()
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("abc "), rng.integers(0, 60)))) for i in [None] * 40 + [7] * 40 + [-(1 << 63), (1 << 63) - 1, 8, 9]] + [(7, None), (None, None), (3, "same"), (3, "same")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.fingerprint(frame).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    key = {(r.i, r.t or ""): r.h for r in frame.selectExpr("doc_id AS i", "text AS t", "xxhash64(coalesce(text, '')) AS h").collect()}
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), key[r]))
+    want = Counter()
+    for (i, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
 
 
 def test_secret_parts_need_each_other(spark):

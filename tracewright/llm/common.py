@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch and UTF-8 bytes of one numpy block. A longer text is a block of its own.
@@ -39,19 +40,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder of spark.checkpoint.dir. Where none is set, one of this machine's, if all of Spark runs on it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application. Call it when no result of an operator is needed any more."""
+    jvm = spark.sparkContext._jvm
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clean(spark)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so lost executors cost no recomputation."""
     spark = df.sparkSession
     ship(spark)
     path = f"{scratch_dir(spark)}/tw-{uuid.uuid4().hex}"
+    _scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -93,37 +115,40 @@ def map_blocks(df: DataFrame, schema: str, make: Callable[[], Callable], text: s
     return df.mapInArrow(run, schema)
 
 
+def sample_order() -> Column:
+    """A number from 0 to 1 that a document's id decides: samples are taken in its order, so they are the same on every run."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).bitwiseAND(0xFFFFFFFF) / float(1 << 32)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, modulus: int = 5, held: int = 0) -> list:
     """At most `max_rows` whole labelled training texts of together at most `max_bytes`: (text, label) pairs.
 
-    Rows with crc32(doc_id as text) mod `modulus` equal to `held` are never read. Rows are taken in the order of a
-    hash of doc_id, so the sample is the same on every run; only their ids and sizes are sorted.
+    Rows with crc32(doc_id as text) mod `modulus` equal to `held` are never read. Of several labels of a document the least
+    counts, of several texts the one of the least hash.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    return bounded(docs, known, max_rows, max_bytes, modulus, held)
-
-
-def bounded(docs: DataFrame, known: DataFrame, max_rows: int, max_bytes: int, modulus: int, held: int) -> list:
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % modulus != held).dropDuplicates(["doc_id"])
+    known = known.where(F.crc32(F.col("doc_id").cast("string")) % modulus != held).groupBy("doc_id").agg(F.min("y").alias("y"))
     total = known.count()
     if not total:
         return []
-    share = min(1.0, (max_rows + 6 * max_rows**0.5 + 10) / total)
-    known = known.where((order.bitwiseAND(0xFFFFFFFF) / float(1 << 32)) < share)
-    # `known` now has a proven bound of about max_rows rows, so it may be broadcast.
-    slim = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
-    sizes = slim.select("doc_id", F.octet_length("text").alias("b"), order.alias("o")).dropDuplicates(["doc_id"])
-    chosen, used = [], 0
-    for doc_id, b, _ in sizes.orderBy("o", "doc_id").limit(max_rows).collect():
-        if used + b <= max_bytes:
-            chosen.append(doc_id)
-            used += b
-    if not chosen:
+    # Of about max_rows rows, whatever the number of labels, so it may be broadcast.
+    known = known.where(sample_order() < min(1.0, (max_rows + 6 * max_rows**0.5 + 10) / total))
+    return chosen(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id"), max_rows, max_bytes)
+
+
+def chosen(rows: DataFrame, max_rows: int, max_bytes: int) -> list:
+    """(text, y) of rows (doc_id, text, y) in the order of sample_order(): one text per document, `max_rows` texts and `max_bytes`
+    together at most. Ids, hashes and sizes are sorted first, so only chosen texts reach the driver, each once."""
+    text = F.xxhash64("text").alias("h")
+    sizes = rows.groupBy("doc_id").agg(F.min(F.struct(text, F.octet_length("text").alias("b"), "y")).alias("x"))
+    ids, used = [], 0
+    for r in sizes.orderBy(sample_order(), "doc_id").limit(max_rows).collect():
+        if used + r.x.b <= max_bytes:
+            ids.append((r.doc_id, r.x.h, r.x.y))
+            used += r.x.b
+    if not ids:
         return []
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    rows = slim.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    seen: dict = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        seen.setdefault(r.doc_id, (r.text, r.y))
-    return list(seen.values())
+    kind = rows.schema["y"].dataType.simpleString()
+    want = rows.sparkSession.createDataFrame(ids, f"doc_id long, h long, y {kind}")  # max_rows rows
+    got = rows.select("doc_id", "text", text).join(F.broadcast(want), ["doc_id", "h"]).dropDuplicates(["doc_id"])
+    return [(r.text, r.y) for r in sorted(got.select("doc_id", "text", "y").collect(), key=lambda r: r.doc_id)]

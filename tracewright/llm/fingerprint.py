@@ -1,9 +1,9 @@
 """Document fingerprints: threshold-scaled sketches.
 
-A sketch retains every shingle hash below a fixed fraction of the hash range; below `floor` retained hashes it takes the
-smallest ones instead, and its own threshold is then the largest it took (or all, if it took them all). Sketches merge by
-union under the lower threshold, and containment between texts of very unequal sizes is the share of the smaller
-sketch's hashes, below the lower of both thresholds, that the other one has.
+A sketch retains every shingle hash below a fixed fraction of the hash range, so it grows with its text, and the sketch of
+two texts together is the union of theirs. Containment between texts of very unequal sizes is the share of the smaller
+sketch's hashes that the other one has. A fingerprint is the sketch after a hash of the whole text, which tells texts apart
+whose shingles are too few to leave any.
 """
 
 from __future__ import annotations
@@ -21,51 +21,46 @@ from . import common
 from .textnum import BYTE_CODE, U, mix, powers
 
 GRAM = 12  # bytes in a shingle; a shorter text is one shingle
-FLOOR = 16
-SCALE = 32
-TOP = 0xFFFFFFFF
+SCALE = 16  # one of so many hashes is retained
+LIMIT = (1 << 32) // SCALE
+SAMPLE = 200
 
 
 def sketch(data: bytes) -> np.ndarray:
-    """Sorted 32-bit hashes, the threshold (exclusive) last."""
+    """The sorted 32-bit hashes that are retained."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
-        return np.array([TOP], np.uint32)
+        return np.zeros(0, np.uint32)
     width = min(GRAM, len(b))
     up, down = powers(len(b) + 1)
     total = np.zeros(len(b) + 1, U)
     np.cumsum(BYTE_CODE[b] * up[:-1], out=total[1:])
     n = len(b) - width + 1
     h = (mix((total[width:] - total[:n]) * down[:n] + U(width)) >> U(32)).astype(np.uint32)
-    low = np.unique(h[h < TOP // SCALE])
-    if len(low) >= FLOOR:
-        return np.append(low, np.uint32(TOP // SCALE))
-    h = np.unique(h[h < TOP])
-    if len(h) <= FLOOR:
-        return np.append(h, np.uint32(TOP))
-    return np.append(h[:FLOOR], np.uint32(h[FLOOR]))
+    return np.unique(h[h < LIMIT])
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of two texts together."""
-    limit = min(a[-1], b[-1])
-    both = np.union1d(a[:-1], b[:-1])
-    return np.append(both[both < limit], np.uint32(limit))
+    return np.union1d(a, b)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smaller sketch in the other one; two empty sketches are alike, an empty one and another are not."""
-    limit = min(a[-1], b[-1])
-    x, y = a[:-1][a[:-1] < limit], b[:-1][b[:-1] < limit]
-    if len(a) == 1 or len(b) == 1:
-        return float(len(a) == len(b))
-    if not len(x) or not len(y):
-        return 0.0
-    return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y))
+    """Share of the smaller sketch in the other one; 0 if one is empty."""
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, min(len(a), len(b)))
 
 
-def code(s: np.ndarray) -> str:
-    return s.astype(">u4").tobytes().hex()
+def whole(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()[:16]
+
+
+def code(data: bytes, s: np.ndarray) -> str:
+    return whole(data) + s.astype(">u4").tobytes().hex()
+
+
+def likeness(x: bytes, a: np.ndarray, y: bytes, b: np.ndarray) -> float:
+    """Of two fingerprints: 1 if they are of one text, else the containment of their sketches."""
+    return 1.0 if x == y else containment(a, b)
 
 
 def edited(text: str, following: str) -> str:
@@ -74,40 +69,50 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Range partitions by descending doc_id, sorted; `heir` rows repeat the first row of the next partition's range at the
-    end, so that every row meets the one that follows it. The texts are shuffled once.
+    """Partitions of about equal bytes by descending doc_id, sorted; `heir` rows repeat the first row of the next partition's
+    range at the end, so that every row meets the one that follows it. The texts are shuffled once.
 
-    Columns: part (int), doc_id, text, heir (boolean). The last row's successor is the first row of all.
+    Columns: part (int), heir (boolean), k, h, doc_id, text. Rows of one doc_id, or of none, are ordered and dealt by a hash of
+    their text, so only equal rows must stay together. The last row's successor is the first row of all.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     partitions = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bounds = docs.select(key.alias("k")).approxQuantile("k", [i / partitions for i in range(1, partitions)], 0.2 / partitions)
-    cuts = np.unique(np.array(bounds, np.float64)).astype(np.int64)
+    # Cuts come from about SAMPLE keys a partition, weighted by their bytes.
+    share = min(1.0, SAMPLE * partitions / max(1, docs.count()))
+    some = keyed.where(F.xxhash64("k", "h").bitwiseAND(0xFFFFFF) < share * (1 << 24)).groupBy("k", "h").agg(F.sum(F.octet_length("text") + F.lit(64)).alias("b"))
+    rows = sorted((r.k, r.h, r.b) for r in some.collect())
+    weight = np.cumsum([r[2] for r in rows])
+    cuts = sorted({rows[int(np.searchsorted(weight, weight[-1] * i / partitions))][:2] for i in range(1, partitions)}) if rows else []
+    cut = np.array(cuts, np.int64).reshape(-1, 2).view([("k", np.int64), ("h", np.int64)]).reshape(-1)
 
     @pandas_udf("int")
-    def part_of(k):
-        return pd.Series(len(cuts) - np.searchsorted(cuts, k.to_numpy(), "right"), dtype="int32")
-
-    keyed = docs.select(key.alias("k"), "doc_id", "text")
-    tops = {r.part: r.top for r in docs.select(part_of(key).alias("part"), key.alias("k")).groupBy("part").agg(F.max("k").alias("top")).collect()}  # a row per partition
-    used = sorted(tops)
-    before = {tops[p]: used[i - 1] for i, p in enumerate(used)}  # the first row of all also follows the last
-    firsts = spark.createDataFrame([(k, p) for k, p in before.items()] or [(0, -1)], "k long, goes int")
-    dealt = keyed.join(F.broadcast(firsts), "k", "left")
-    own = F.struct(part_of("k").alias("part"), F.lit(False).alias("heir"))
+    def part_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        row = np.zeros(len(k), cut.dtype)
+        row["k"], row["h"] = k, h
+        both = np.r_[cut, row]
+        order = np.lexsort((np.arange(len(both)), both["h"], both["k"]))  # a cut comes before the rows equal to it
+        passed = np.empty(len(both), np.int32)
+        passed[order] = np.cumsum(order < len(cut))
+        return pd.Series(passed[len(cut) :])
+
+    tops = keyed.select(part_of("k", "h").alias("part"), F.struct("k", "h").alias("top")).groupBy("part").agg(F.min("top").alias("top")).collect()  # a row per partition
+    tops = sorted((r.part, r.top.k, r.top.h) for r in tops)
+    firsts = spark.createDataFrame([(k, h, tops[i - 1][0]) for i, (_, k, h) in enumerate(tops)] or [(0, 0, -1)], "k long, h long, goes int")  # the first row of all also follows the last
+    dealt = keyed.join(F.broadcast(firsts), ["k", "h"], "left")
+    own = F.struct(part_of("k", "h").alias("part"), F.lit(False).alias("heir"))
     copy = F.struct(F.col("goes").alias("part"), F.lit(True).alias("heir"))
-    dealt = dealt.select("k", "doc_id", "text", F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("x"))
-    dealt = dealt.select("x.part", "x.heir", "k", "doc_id", "text")
-    return dealt.repartition(partitions, "part").sortWithinPartitions("part", "heir", F.desc("k"), "text")
+    dealt = dealt.select("k", "h", "doc_id", "text", F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("x"))
+    dealt = dealt.select("x.part", "x.heir", "k", "h", "doc_id", "text")
+    return dealt.repartition(partitions, "part").sortWithinPartitions("part", "heir", "k", "h")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    Null texts are empty. Rows with equal doc_id follow each other by text; null doc_ids come last. A single row follows
-    itself. Other columns are ignored. Fingerprints are hexadecimal: sorted hashes, then the threshold.
+    Null texts are empty. Rows with equal doc_id follow each other by a hash of their text; null doc_ids come last. A single row follows
+    itself. Other columns are ignored. Fingerprints are hexadecimal: a hash of the text, then the sorted hashes of its sketch.
+    Likeness is 1 for equal texts; of unequal texts, too short for one to leave a hash, it is 0.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
 
@@ -115,13 +120,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         held = None
         for batch in batches:
             out = []
-            for part, heir, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                mine = sketch(text.encode())
+            for part, heir, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True):
+                data = text.encode()
+                mine = sketch(data)
                 if held and held[0] == part:
-                    changed = edited(held[2], text)
-                    raw = changed.encode()
-                    new = sketch(raw)
-                    out.append((held[1], len(held[2]), hashlib.sha256(raw).hexdigest(), code(held[3]), code(new), containment(held[3], new), containment(held[3], mine)))
+                    raw = edited(held[2], text).encode()
+                    old, new = held[2].encode(), sketch(raw)
+                    out.append((held[1], len(held[2]), hashlib.sha256(raw).hexdigest(), code(old, held[3]), code(raw, new), likeness(old, held[3], raw, new), likeness(old, held[3], data, mine)))
                 held = None if heir else (part, doc_id, text, mine)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)

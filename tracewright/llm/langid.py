@@ -1,8 +1,9 @@
 """Language ID: one interpolated Kneser-Ney character model per language, kept in sorted hash arrays.
 
-A text is folded to lower case, runs of other characters than letters become one boundary, and each language's model
-gives a cross-entropy per character. The lowest one names the language; a temperature and an entropy bound, both fitted
-on a calibration part of the training sample, give the score and the rejection flag.
+A text is folded to lower case, runs of other characters than letters become one boundary, and each language's model of
+four characters gives a cross-entropy per character. The lowest one names the language; a temperature and an entropy bound,
+both fitted on a calibration part of the training sample, give the score and the rejection flag. Every letter of Unicode is
+itself; a letter that the sample lacks has the share that smoothing leaves.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .textnum import U
 
-BITS = 6  # a character class has 6 bits: 0 is a boundary, 1 a letter outside the learned alphabet
-SIZE = 1 << BITS
+N = 4
 DISCOUNT = 0.75
+_ROLL, _SPREAD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _fold: list = []
 
 
@@ -43,61 +45,97 @@ def letters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     for c in np.unique(points[points > 65535]):
         here = points == c
         is_letter[here] = chr(c).isalpha()
-        out[here] = 65535
+        out[here] = ord(chr(c).lower()[0])
     return out, is_letter, start
 
 
-def classes(data: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes with one boundary for each run of non-letters, three boundaries before each text; text starts."""
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded letters, 0 for each run of other characters, and N - 1 zeros before each text; text starts."""
     points, is_letter, start = letters(data, at)
-    cls = np.where(is_letter, alphabet[np.minimum(points, 65535)], 0).astype(np.int32)
-    keep = cls > 0
-    first = np.zeros(len(cls) + 1, bool)
+    points = np.where(is_letter, points, 0)
+    keep = is_letter.copy()
+    first = np.zeros(len(points) + 1, bool)
     first[start] = True
-    keep[1:] |= (cls[:-1] > 0) & ~first[1 : len(cls)]
+    keep[1:] |= is_letter[:-1] & ~first[1 : len(points)]
     kept = np.r_[0, np.cumsum(keep)][start]
-    texts = len(at) - 1
-    out = np.zeros(kept[-1] + 3 * texts, np.int32)
-    size = np.diff(kept)
-    out[np.arange(kept[-1]) + 3 * np.repeat(np.arange(1, texts + 1), size)] = cls[keep]
-    return out, kept + 3 * np.arange(texts + 1)
+    texts, pad = len(at) - 1, N - 1
+    out = np.zeros(kept[-1] + pad * texts, np.uint32)
+    out[np.arange(kept[-1]) + pad * np.repeat(np.arange(1, texts + 1), np.diff(kept))] = points[keep]
+    return out, kept + pad * np.arange(texts + 1)
 
 
-def codes(cls: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends three places after each position."""
-    return ((cls[:-3] << 18) | (cls[1:-2] << 12) | (cls[2:-1] << 6) | cls[3:]).astype(np.int32)
+def grams(chars: np.ndarray) -> list[np.ndarray]:
+    """For n from 1 to N: a 64-bit hash of the n characters that end at each place (the first n - 1 places have none)."""
+    out = [chars.astype(np.uint64) + U(1)]
+    for _ in range(N - 1):
+        key = np.zeros(len(chars), np.uint64)
+        key[1:] = out[-1][:-1] * _ROLL + out[0][1:]
+        out.append(key)
+    return [k * _SPREAD for k in out]
+
+
+class Sorted:
+    """A sorted array of 64-bit hashes with a directory of their highest bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n, self.bits = len(keys), max(1, int(len(keys)).bit_length())
+        self.keys = np.append(keys, ~U(0))
+        self.begin = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << U(64 - self.bits)).astype(np.int32)
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        at = self.begin[(q >> U(64 - self.bits)).astype(np.int64)]
+        todo = np.flatnonzero(self.keys[at] < q)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < q[todo]]
+        return np.where((self.keys[at] == q) & (at < self.n), at, -1)
 
 
 class Model:
-    def __init__(self, langs, alphabet, key, logp, back, low, temperature, bound):
-        self.langs, self.alphabet, self.key, self.logp, self.back, self.low = langs, alphabet, key, logp, back, low
-        self.temperature, self.bound, self._dense = temperature, bound, None
+    """levels[n - 1]: (hashes, log probability, log back-off weight) of n-grams, the last two with a column per language; `unseen`: log
+    probability of an unknown letter."""
+
+    def __init__(self, langs, levels, unseen, temperature=1.0, bound=np.inf):
+        self.langs, self.levels, self.unseen, self.temperature, self.bound = langs, levels, unseen, temperature, bound
+
+    def logs(self, keys: list[np.ndarray], at: np.ndarray, n: int = N) -> np.ndarray:
+        """Log probability of the character at each of these places, given the n - 1 before it, for each language."""
+        if not n:
+            return np.broadcast_to(self.unseen, (len(at), len(self.unseen)))
+        index, logp, _ = self.levels[n - 1]
+        found = index.find(keys[n - 1][at])
+        out = logp[found]
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            out[miss] = self.logs(keys, at[miss], n - 1)
+            if n > 1:
+                index, _, back = self.levels[n - 2]
+                context = index.find(keys[n - 2][at[miss] - 1])
+                out[miss] += np.where(context[:, None] >= 0, back[context], 0)
+        return out
 
     def entropy(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits per character for texts x languages; number of letters of each text."""
-        if self._dense is None:  # the sorted array opened to a direct table, once per worker
-            self._dense = np.full(SIZE**4, -1, np.int32)
-            self._dense[self.key] = np.arange(len(self.key))
-        cls, start = classes(data, at, self.alphabet)
-        texts = len(at) - 1
-        if not len(cls):
-            return np.zeros((texts, len(self.langs))), np.zeros(texts, np.int64)
-        code = codes(cls)
-        row = self._dense[code]
-        value = self.logp[row]
-        miss = np.flatnonzero(row < 0)
-        value[miss] = self.back[code[miss] >> 6] + self.low[code[miss] & (SIZE**3 - 1)]
-        total = np.r_[np.zeros((1, value.shape[1])), np.cumsum(value, axis=0, dtype=np.float64)]
-        n = np.diff(start) - 3
-        begin = np.minimum(start[:-1], len(total) - 1)
-        out = total[begin + np.maximum(n, 0)] - total[begin]
-        seen = np.r_[0, np.cumsum(cls > 0)]
-        return -out / np.maximum(1, n)[:, None] / np.log(2), seen[start[1:]] - seen[start[:-1]]
+        chars, start = characters(data, at)
+        first = start[:-1] + N - 1
+        size = start[1:] - first
+        real = np.ones(len(chars), bool)
+        real[(start[:-1, None] + np.arange(N - 1)).reshape(-1)] = False
+        value = self.logs(grams(chars), np.flatnonzero(real))
+        # Whole multiples of 2**-20, so that sums are exact and a text's result doesn't depend on its neighbours.
+        value = np.round(value * np.float32(1 << 20)).astype(np.int64)
+        total = np.r_[np.zeros((1, value.shape[1]), np.int64), np.cumsum(value, axis=0)]
+        ends = np.r_[0, np.cumsum(size)]
+        out = (total[ends[1:]] - total[ends[:-1]]) / float(1 << 20)
+        seen = np.r_[0, np.cumsum(chars > 0)]
+        return -out / np.maximum(1, size)[:, None] / np.log(2), seen[start[1:]] - seen[start[:-1]]
 
     def predict(self, data: np.ndarray, at: np.ndarray):
-        h, n = self.entropy(data, at)
         if not self.langs:
-            return np.full(len(n), "und"), np.zeros(len(n)), np.ones(len(n), bool), n * 0.0
+            n = len(at) - 1
+            return np.full(n, "und"), np.zeros(n), np.ones(n, bool), np.zeros(n)
+        h, n = self.entropy(data, at)
         best = h.argmin(1)
         z = np.exp(-(h - h.min(1, keepdims=True)) * self.temperature * np.sqrt(np.minimum(n, 400))[:, None])
         score = (1 / z.sum(1)) * (n > 0)
@@ -105,66 +143,62 @@ class Model:
         return np.where(n > 0, np.array(self.langs)[best], "und"), score, (n == 0) | (low > self.bound), low
 
 
-def estimate(count_key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kneser-Ney for one language: probability of each seen 4-gram, back-off weight of each context, all 3-gram probabilities."""
-    p = np.full(1, 1 / SIZE)
-    grams, n = [count_key], [count.astype(float)]
-    for k in (3, 2, 1):  # continuation counts: distinct characters before each shorter n-gram
-        g, c = np.unique(grams[-1] & (SIZE**k - 1), return_counts=True)
-        grams.append(g)
-        n.append(c.astype(float))
-    for k in (1, 2, 3, 4):
-        g, c = grams[4 - k], n[4 - k]
-        total = np.bincount(g >> 6, c, SIZE ** (k - 1))
-        kinds = np.bincount(g >> 6, minlength=SIZE ** (k - 1))
-        lam = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        if k < 4:
-            full = np.repeat(lam, SIZE) * np.tile(p, SIZE ** (k - 1)).reshape(-1)[: SIZE**k] if k == 1 else np.repeat(lam, SIZE) * p[np.arange(SIZE**k) & (SIZE ** (k - 1) - 1)]
-            full[g] += np.maximum(c - DISCOUNT, 0) / total[g >> 6]
-            p = full
-    seen = np.maximum(c - DISCOUNT, 0) / total[g >> 6] + lam[g >> 6] * p[g & (SIZE**3 - 1)]
-    return seen, lam, p
+def estimate(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, np.ndarray]:
+    """Levels and `unseen` of the interpolated Kneser-Ney models of (characters, text starts) of each language."""
+    langs = len(parts)
+    chars = np.concatenate([c for c, _ in parts])
+    lang = np.repeat(np.arange(langs), [len(c) for c, _ in parts])
+    start = np.concatenate([s[:-1] + o for (_, s), o in zip(parts, np.r_[0, np.cumsum([len(c) for c, _ in parts])], strict=False)])
+    place = np.arange(len(chars)) - np.repeat(start, np.diff(np.r_[start, len(chars)]))
+    keys, event = grams(chars), place >= N - 1
+    lists = []
+    for n in range(1, N + 1):
+        at = np.flatnonzero(place >= n - 1)
+        key, one, group = np.unique(keys[n - 1][at], return_index=True, return_inverse=True)
+        lists.append({"key": key, "at": at[one], "index": Sorted(key)})
+        if n == N:
+            real = event[at]
+            count = np.stack([np.bincount(group[real & (lang[at] == j)], minlength=len(key)) for j in range(langs)], 1).astype(float)
+    counts = [count]
+    for n in range(N - 1, 0, -1):  # continuation counts: distinct characters before each shorter n-gram
+        longer = lists[n]
+        suffix = lists[n - 1]["index"].find(keys[n - 1][longer["at"]])
+        counts.insert(0, np.stack([np.bincount(suffix[counts[0][:, j] > 0], minlength=len(lists[n - 1]["key"])) for j in range(langs)], 1).astype(float))
+    alphabet = len(lists[0]["key"]) + 1
+    total = counts[0].sum(0)
+    rest = np.where(total > 0, DISCOUNT * (counts[0] > 0).sum(0) / np.maximum(total, 1), 1.0)
+    p = np.maximum(counts[0] - DISCOUNT, 0) / np.maximum(total, 1) + rest / alphabet
+    unseen = np.log(rest / alphabet).astype(np.float32)
+    levels = []
+    for n in range(2, N + 1):
+        own, shorter = lists[n - 1], lists[n - 2]
+        prefix = shorter["index"].find(keys[n - 2][own["at"] - 1])
+        suffix = shorter["index"].find(keys[n - 2][own["at"]])
+        c = counts[n - 1]
+        total = np.stack([np.bincount(prefix, c[:, j], len(shorter["key"])) for j in range(langs)], 1)
+        kinds = np.stack([np.bincount(prefix, c[:, j] > 0, len(shorter["key"])) for j in range(langs)], 1)
+        rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        levels.append((shorter["index"], np.log(p).astype(np.float32), np.log(rest).astype(np.float32)))
+        p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[prefix], 1) + rest[prefix] * p[suffix]
+    levels.append((lists[-1]["index"], np.log(p).astype(np.float32), None))
+    return levels, unseen
+
+
+def pack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(x) for x in texts])].astype(np.int64)
 
 
 def train(rows: list) -> Model:
     """rows: (text, lang). A fifth of them calibrates; the rest are counted."""
     langs = sorted({y for _, y in rows})
-    alphabet = np.ones(65536, np.int32)
-    pack = lambda part: (np.frombuffer(b"".join(part), np.uint8), np.r_[0, np.cumsum([len(x) for x in part])])
     if not langs:
-        return Model([], alphabet, np.zeros(0, np.int64), np.zeros((1, 0)), np.zeros((1, 0)), np.zeros((1, 0)), 1.0, 0.0)
-    data, at = pack([t.encode() for t, _ in rows])
-    points, is_letter, _ = letters(data, at)
-    seen, n = np.unique(points[is_letter], return_counts=True)
-    common_ones = np.sort(seen[np.argsort(-n, kind="stable")[: SIZE - 2]])
-    alphabet[common_ones] = np.arange(2, 2 + len(common_ones))
-    counted = {}
-    for lang in langs:
-        own = [t.encode() for t, y in rows if y == lang]
-        part = [t for i, t in enumerate(own) if i % 5] or own
-        cls, start = classes(*pack(part), alphabet)
-        real = np.ones(max(0, len(cls) - 3), bool)
-        for d in (1, 2, 3):
-            real[np.maximum(start[1:-1] - d, 0)[start[1:-1] - d < len(real)]] = False
-        counted[lang] = np.unique(codes(cls)[real], return_counts=True) if len(cls) > 3 else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    key = np.unique(np.concatenate([k for k, _ in counted.values()]))
-    logp = np.zeros((max(1, len(key)), len(langs)), np.float32)
-    back = np.zeros((SIZE**3, len(langs)), np.float32)
-    low = np.zeros((SIZE**3, len(langs)), np.float32)
-    for j, lang in enumerate(langs):
-        g, c = counted[lang]
-        seen, lam, p3 = estimate(g, c)
-        back[:, j], low[:, j] = np.log(lam), np.log(p3)
-        logp[:, j][: len(key)] = back[key >> 6, j] + low[key & (SIZE**3 - 1), j]
-        logp[np.searchsorted(key, g), j] = np.log(seen)
-    model = Model(langs, alphabet, key, logp, back, low, 1.0, np.inf)
-    held, truth = [], []
-    for j, lang in enumerate(langs):
-        own = [t.encode() for t, y in rows if y == lang][::5]
-        held += own
-        truth += [j] * len(own)
+        return Model([], [], np.zeros(0))
+    own = [[t.encode() for t, y in rows if y == lang] for lang in langs]
+    model = Model(langs, *estimate([characters(*pack([t for i, t in enumerate(texts) if i % 5] or texts)) for texts in own]))
+    held = [t for texts in own for t in texts[::5]]
+    truth = np.repeat(np.arange(len(langs)), [len(texts[::5]) for texts in own])
     h, n = model.entropy(*pack(held))
-    h, n, truth = h[n > 0], n[n > 0], np.array(truth)[n > 0]
+    h, n, truth = h[n > 0], n[n > 0], truth[n > 0]
     if len(truth):
         gap = (h - h.min(1, keepdims=True)) * np.sqrt(np.minimum(n, 400))[:, None]
         losses = {}
@@ -173,30 +207,29 @@ def train(rows: list) -> Model:
             losses[t] = -np.log(np.maximum(1e-9, z[np.arange(len(truth)), truth] / z.sum(1))).mean()
         model.temperature = min(losses, key=losses.get)
         model.bound = float(np.quantile(h.min(1), 0.995))
-    model._dense = None
     return model
 
 
-def fit(docs: DataFrame, per_lang: int = 800, max_bytes: int = 8_000_000) -> Model:
-    """Train on at most `per_lang` rows of each language (together at most `max_bytes`) outside the held-out fold."""
+def fit(docs: DataFrame, per_lang: int = 800, max_bytes: int = 8_000_000, max_langs: int = 500) -> Model:
+    """Train on at most `per_lang` rows of each language (together at most `max_bytes`) outside the held-out fold. Of more than
+    `max_langs` values of lang, the most frequent are learned."""
     crc = F.crc32(F.col("doc_id").cast("string"))
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc % 4 != 2).select("doc_id", F.col("lang").alias("y"))
-    totals = {r.y: r["count"] for r in known.groupBy("y").count().collect()}  # a row per language
+    known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc % 4 != 2)
+    totals = known.groupBy(F.col("lang").alias("y")).count().orderBy(F.desc("count"), "y").limit(max_langs).collect()
     if not totals:
         return train([])
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).bitwiseAND(0xFFFFFFFF) / float(1 << 32)
-    share = F.create_map(*[F.lit(x) for y, n in totals.items() for x in (y, min(1.0, per_lang / n))])
-    known = known.where(order < share[F.col("y")])
-    return train(common.bounded(docs, known, per_lang * len(totals), max_bytes, 4, 2))
+    share = F.create_map(*[F.lit(x) for r in totals for x in (r.y, min(1.0, per_lang / r["count"]))])
+    known = known.select(F.col("doc_id"), "text", F.col("lang").alias("y")).where(common.sample_order() < share[F.col("y")])
+    return train(common.chosen(known, per_lang * len(totals), max_bytes))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected, bits_per_char for every row.
 
     Null texts and texts without a letter are `und` with score 0. `rejected` marks texts that fit no learned language.
-    A null doc_id has a null held_out; repeated rows get equal results; other columns are ignored. No shuffle.
+    A null doc_id has a null held_out; equal texts and repeated rows get equal results; other columns are ignored. No shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet: at most 64**4 n-grams a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def make():
         m = shared.value
