@@ -198,6 +198,32 @@ def test_sharding_law(spark, docs):
     assert np.allclose(m, [[15, 15], [5, 5]], atol=0.5)
 
 
+def test_sharding_permutes_and_keeps_odd_rows(spark, odd, docs):
+    got = sharding.shuffle(odd, 3).collect()
+    assert Counter((r.doc_id, r.text, r.score, r["keys"]) for r in got) == Counter((i, t, "y", 0.5) for i, t in ODD)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s, n in ((0, 4), (1, 3), (2, 3)) for k in range(n)]
+    rows = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle(docs.select("doc_id"), 4).collect()}
+    other = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle(docs.select("doc_id"), 4, seed=99).collect()}
+    same = np.mean([rows[i][0] == other[i][0] for i in rows])
+    assert set(rows) == set(other) and abs(same - 0.25) < 0.15 and rows != other
+
+
+def test_hypergeometric_law_beyond_numpy():
+    share = [sharding.log_share(x, 30, 50, 20) for x in range(21)]
+    exact = [math.log(math.comb(30, x) * math.comb(50, 20 - x)) for x in range(21)]
+    assert np.ptp(np.array(share) - np.array(exact)) < 1e-9
+    big = 10**12
+    near = [sharding.log_share(x, big, 3 * big, 4 * 10**6) for x in (10**6, 10**6 + 1, 10**6 + 2000)]
+    # ratio of neighbours: (good - x) (n - x) / ((x + 1) (bad - n + x + 1))
+    want = math.log((big - 10**6) * (3 * 10**6) / ((10**6 + 1) * (3 * big - 3 * 10**6 + 1)))
+    assert abs((near[1] - near[0]) - want) < 1e-8 and abs((near[2] - near[0]) + 2000**2 / (2 * 750_000)) < 0.01
+    rng = np.random.default_rng(4)
+    draws = np.array([sharding._draw(rng, 3 * 10**9, 10**9, 4000) for _ in range(4000)])
+    assert abs(draws.mean() - 3000) < 2 and abs(draws.std() - math.sqrt(750)) < 1.2
+    few = np.array([sharding._draw(rng, 10**9, 3 * 10**9, 2) for _ in range(6000)])
+    assert np.allclose(np.bincount(few, minlength=3) / 6000, [9 / 16, 6 / 16, 1 / 16], atol=0.025)
+
+
 def test_fingerprints(spark, docs):
     import hashlib
 
