@@ -351,8 +351,54 @@ def test_common_edited_copies_are_found_beside_a_verbatim_one(spark):
 def test_no_alignment_scores_above_its_reach():
     rng = np.random.default_rng(11)
     for _ in range(200):
-        a, b = rng.integers(0, 9, 12).astype(np.uint64), rng.integers(0, 9, rng.integers(1, 20)).astype(np.uint64)
-        assert decontaminate.align(a, b)[0] <= decontaminate.reach(np.unique(a, return_counts=True), b) == sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        a, b = [f"w{x}" for x in rng.integers(0, 9, 12)], [f"w{x}" for x in rng.integers(0, 9, rng.integers(1, 20))]
+        items = decontaminate.Items([(1, "other words"), (2, " ".join(a))])
+        h = decontaminate.Items([(0, " ".join(b))]).words[0]
+        most = decontaminate.reach(items, np.array([1]), np.r_[h, h], np.array([len(b)]), np.array([2 * len(b)]))[0]
+        assert decontaminate.align(items.words[1], h)[0] <= most == sum((Counter(a) & Counter(b)).values())
+
+
+def test_windows_that_meet_are_one():
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        n = rng.integers(0, 30)
+        rows = sorted((int(t), int(i), int(a), int(a + w)) for t, i, a, w in zip(rng.integers(0, 3, n), rng.integers(0, 2, n), rng.integers(0, 60, n), rng.integers(1, 9, n), strict=True))
+        want = []
+        for t, i, a, b in rows:
+            if want and want[-1][:2] == [t, i] and a <= want[-1][3]:
+                want[-1][3] = max(want[-1][3], b)
+            else:
+                want.append([t, i, a, b])
+        text, item, a, b = (np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [[]] * 4))
+        first, stop, window = decontaminate.merged(text, item, a, b)
+        assert [[text[x], item[x], a[x], y] for x, y in zip(first, stop, strict=True)] == want and len(window) == n
+
+
+def test_decontamination_equals_all_pairs(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, items = common.table(spark, sf, "documents"), common.table(spark, sf, "benchmark")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find(docs, items).collect()}
+    word = lambda t: [int.from_bytes(w.encode()[:7].ljust(7, b"\0"), "big") * 31 + zlib.crc32(w.encode()) for w in words(t)]
+    texts = {r.doc_id: np.array(word(r.text), np.uint64) for r in docs.select("doc_id", "text").collect()}
+    want = {}
+    for r in items.select("item_id", "text").collect():
+        own = word(r.text)
+        kinds = Counter(own)
+        for i, t in texts.items():
+            have = t[np.isin(t, np.array(own, np.uint64))]
+            if own and sum((kinds & Counter(have.tolist())).values()) >= 0.45 * len(own):  # no alignment scores more
+                score = decontaminate.align(np.array(own, np.uint64), t)[0] / len(own)
+                if score >= 0.45:
+                    want[i, r.item_id] = score
+    assert set(got) == set(want) and len(want) > 10
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_short_items_and_equal_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "x y z"), (None, "say x y"), (None, "x z y"), (2, "Hello there"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "x y"), (6, "hello"), (7, ""), (8, None), (9, "a b c")], "item_id long, text string")
+    got = decontaminate.find(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.item_id, round(r.score, 9), r.start_word, r.end_word) for r in got) == [(0, 5, 1.0, 1, 3), (1, 5, 1.0, 0, 2), (1, 9, 1.0, 0, 3), (2, 6, 1.0, 0, 1)]
 
 
 def test_alignment_equals_the_table_method():

@@ -26,7 +26,10 @@ from .textnum import LOWER, U, mix, shingle_sets, span_hashes, spread, words
 
 WIDTH = 6  # positions in a chunk
 BLOCK_ROWS, BLOCK_SHINGLES = 96, 1_000_000
-BITMAP = 1 << 23  # bits that tell members from other texts; false hits cost work only
+#: Bits that tell members from other texts: 16 for each, from 2**20 to 2**28. False hits cost work only.
+BITMAP = (20, 28)
+#: A key with more than a share 1/HOT of all rows joins by a broadcast; HOT keys can.
+HOT = 4096
 
 
 def plan(similarity: float) -> tuple[int, int, int]:
@@ -95,20 +98,28 @@ def row_table(docs: DataFrame, chunks: int, width: int) -> DataFrame:
     return common.map_blocks(docs, "doc_id long, tx long, n long, h long, sig binary, keys array<long>", make)
 
 
+def meet(rows: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with of (key, c: its rows, ...): the rows of a hot key stay where they are, so no task gets all of them."""
+    hot = F.broadcast(of.where(F.col("c") > max(8, total // HOT)).drop("c"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(of.where(F.col("c") <= max(8, total // HOT)).drop("c"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for all nodes of edges (u, v): comp is the least node reachable. Alternating large and small stars."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = common.materialize(edges)
-    state = None
-    while True:
+    marks = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    state = edges.agg(*marks).first()
+    while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        big = meet(both.where("v > u"), least, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = meet(big, least, "u", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         edges = common.materialize(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = edges.agg(*marks).first()
         if now == state:
             break
         state = now
@@ -169,8 +180,9 @@ def compared(rows: DataFrame, by: str, body: str, links) -> DataFrame:
 def clusters(classes: DataFrame, limit: int) -> DataFrame:
     """(node, comp): every pair of classes whose signatures differ in `limit` positions or fewer shares a comp."""
     keys = classes.select("h", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("p"), F.count("*").alias("c")).where("c > 1")
-    stars = common.materialize(keys.join(shared, "key").select("key", "h", "p"))
+    shared = common.materialize(keys.groupBy("key").agg(F.min("h").alias("p"), F.count("*").alias("c")).where("c > 1"))
+    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    stars = common.materialize(meet(keys, shared, "key", total).select("key", "h", "p"))
     dist = common.materialize(hamming(stars.where("h <> p").select("p", "h").distinct(), classes))
     # A class has at most as many pivots as keys: it is tied to the least of them, and so is each other one.
     tied = dist.where(f"d <= {2 * limit}").groupBy("h").agg(F.min("p").alias("u"), F.collect_set("p").alias("ps"))
@@ -246,11 +258,12 @@ def confirmed(docs: DataFrame, members: DataFrame, num: int, den: int, width: in
     tx = F.xxhash64(F.coalesce("text", F.lit("")))
     blocks = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     members = members.join(blocks, "comp").withColumnsRenamed({"doc_id": "rep", "tx": "rep_tx"})
-    # A bitmap of fixed size tells the scan which texts can be members; only their sets are shuffled.
-    place = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(BITMAP))
-    words_set = members.select(place("rep", "rep_tx").alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 31 AS int))")).alias("b")).collect()
-    bitmap = np.zeros(BITMAP >> 5, np.uint32)
-    bitmap[[r.w for r in words_set]] = np.array([r.b for r in words_set], np.int64).astype(np.uint32)
+    # A bitmap of bounded size tells the scan which texts can be members; only their sets are shuffled.
+    bits = min(max((16 * members.count()).bit_length(), BITMAP[0]), BITMAP[1])
+    place = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(1 << bits))
+    words_set = members.select(place("rep", "rep_tx").alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 31 AS int))")).alias("b")).toArrow()
+    bitmap = np.zeros(1 << (bits - 5), np.uint32)
+    bitmap[words_set.column("w").to_numpy()] = words_set.column("b").to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def make():
@@ -276,8 +289,14 @@ def neighbours(docs: DataFrame, num: int = 85, den: int = 100, width: int = 5) -
 
     Null, empty and blank texts have no shingle and no link. A text of fewer words than `width` has one shingle. Repeated
     rows and equal texts are one class. Null doc_ids take part; a component's id is its least doc_id that isn't null, and
-    `kept` is doc_id = component_id (null-safe). Other columns are ignored.
+    `kept` is doc_id = component_id. Of a component whose ids are all null, with a null id, one text is kept. Other columns are
+    ignored.
     """
+    return classified(docs, num, den, width).drop("tx")
+
+
+def classified(docs: DataFrame, num: int, den: int, width: int = 5) -> DataFrame:
+    """neighbours() with `tx`, the xxhash64 of the text."""
     chunks, _, limit = plan(num / den)
     rows = common.materialize(row_table(docs, chunks, width))
     classes = rows.where("n > 0").groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tx")).alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("keys").alias("keys"))
@@ -285,12 +304,14 @@ def neighbours(docs: DataFrame, num: int = 85, den: int = 100, width: int = 5) -
     near = clusters(classes.select("h", "sig", "keys"), limit)
     members = common.materialize(classes.select("h", "doc_id", "tx", "n").join(near.withColumnRenamed("node", "h"), "h"))
     links = components(confirmed(docs, members, num, den, width))
-    linked = classes.select("h", "doc_id").join(links.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-    least = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = linked.join(least, "comp").select("h", "component_id")
-    out = rows.select("doc_id", "n", "h").join(named, "h", "left")
+    linked = classes.select("h", "doc_id", "tx").join(links.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+    # The least id that isn't null; if all are null, one text stands for its component.
+    least = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("tx").alias("first"))
+    named = linked.join(least, "comp").select("h", "component_id", "first")
+    out = rows.select("doc_id", "tx", "n", "h").join(named, "h", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    stands = F.col("n").eqNullSafe(0) | F.col("component_id").isNotNull() | (F.col("tx") == F.col("first"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id").eqNullSafe(own) & stands).alias("kept"), "tx")
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
