@@ -2,7 +2,8 @@
 
 Toxic documents go; one document of each group of near-duplicates stays; documents that hold benchmark items go; secrets
 are replaced in the text; what is left is packed into windows. All but the last return the columns of `documents`.
-Rows with the same doc_id are one document.
+Rows with the same doc_id and text are one document; rows with null ids are told apart by their texts. Null and empty texts
+are documents like any other. Other columns than those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -30,16 +31,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return common.map_blocks(docs, docs.schema.simpleString()[7:-1], make)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` that have no equal (doc_id, tx) in `gone`; tx is the hash of the text."""
+    tx = F.xxhash64(F.coalesce("text", F.lit("")))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_of")).distinct()
+    hashed = docs.select(*COLUMNS, tx.alias("_tx"))
+    return hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tx") == F.col("_of")), "left_anti").select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least doc_id of each group of documents linked at a similarity of 0.8 or more."""
-    gone = neardup.neighbours(docs, 80, 100).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    return without(docs, neardup.classified(docs, 80, 100).where("not kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that align with no benchmark item."""
-    gone = decontaminate.find(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    return without(docs, decontaminate.find(docs, common.table(spark, sf_dir, "benchmark")))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +76,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("secrets", without_secrets), ("packing", packed)]
-#: None: the classifier and the packing order can't be expressed in SQL; tests compare the stages with brute force.
+#: None: the classifier and the packing order can't be expressed in SQL; tests compare each stage with its operator or brute force.
 ORACLE_SQL = None
 
 
