@@ -7,8 +7,8 @@ the longer context are excluded there. Orders below 5 count a byte once for each
 exclusion). The code length of a text is the sum over its bytes and one end symbol.
 
 Nothing that grows with the corpus is broadcast. Texts are dealt into parts of a few MB by their place in the input, which
-no re-planning changes. A part's distinct codes go, packed, to the buckets that hold their contexts; code lengths come back
-and meet the texts again in a cogroup, as do the counts of the part's words.
+no re-planning changes. A part's distinct words and codes go, packed, to the buckets that hold them; counts and code lengths
+come back, in an order that the part can repeat, and meet the packed texts in a cogroup.
 """
 
 from __future__ import annotations
@@ -29,14 +29,12 @@ ORDER = 5
 LONG = 16  # bytes before the first byte of a word
 DISCOUNT = 0.3
 END, PAD = 0xFF, 0xFE  # bytes that never occur in UTF-8: the end symbol and what precedes a text
-WORD, GRAM, LOW = 0, 1, 2
-#: Groups of contexts whose trie is built at once.
+WORD, GRAM = 0, 1
+#: Groups of words, and of contexts whose trie is built at once.
 BUCKETS = 512
-CODEC = pa.Codec("zstd", 1)
+CODEC, TEXT_CODEC = pa.Codec("zstd", 1), pa.Codec("zstd", 6)
 #: Bytes of text in a part, on average. A longer text than ALONE bytes is a part of its own.
 PART_BYTES, ALONE = 8 << 20, 1 << 20
-#: A word in more than a share 1/HOT of all (part, word) rows is hot; so at most HOT words are.
-HOT = 200_000
 _HELD = 1 << 32
 
 
@@ -79,6 +77,12 @@ def long_ids(code: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context, mix(context + (code & U(0xFF)) + U(1))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted and distinct; much faster than numpy's unique, which hashes."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def uses(keys: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys (below 2**63), and how many uses of each are marked in `told`."""
     both = np.sort((keys << U(1)) | told.astype(U))
@@ -187,12 +191,20 @@ def squeezed(values: np.ndarray) -> bytes:
     return CODEC.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), asbytes=True)
 
 
-def loosened(blob, size: int, dtype) -> np.ndarray:
+def loosened(packed, size: int, dtype) -> np.ndarray:
     wide = np.dtype(dtype).itemsize
-    raw = np.frombuffer(CODEC.decompress(blob.as_buffer() if hasattr(blob, "as_buffer") else blob, wide * size, asbytes=True), np.uint8)
+    raw = np.frombuffer(CODEC.decompress(packed.as_buffer() if hasattr(packed, "as_buffer") else packed, wide * size, asbytes=True), np.uint8)
     return np.ascontiguousarray(raw.reshape(wide, size).T).reshape(-1).view(dtype)
 
 
+def zipped(text: np.ndarray) -> bytes:
+    return TEXT_CODEC.compress(text.tobytes(), asbytes=True)
+
+
+def unzipped(text: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(TEXT_CODEC.decompress(text, size, asbytes=True), np.uint8)
+
+
 def steps(codes: np.ndarray) -> np.ndarray:
     """Sorted codes as their differences, which pack better."""
     return np.diff(codes, prepend=U(0))
@@ -219,25 +231,61 @@ def blocked(docs: DataFrame) -> tuple[DataFrame, int]:
     return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"), part.alias("part")), max(1, size // PART_BYTES)
 
 
-COUNTS = "kind int, part long, code long, n long, m long, codes binary, counts binary, longs binary, uses binary"
+def blob(values: list | None, n: int) -> pa.Array:
+    return pa.array(values, pa.binary()) if values is not None else pa.nulls(n, pa.binary())
 
 
-def count(blocks: DataFrame) -> DataFrame:
-    """One scan; counts are uses in training texts, perhaps 0. WORD: a distinct word of a part (code) and its count (n).
-    GRAM: n distinct codes of a part in one bucket (code), m long contexts with symbols: place of the code among the n, then the
-    hash. LOW: distinct codes of training texts of order 3 (n), and of order 4 where a word begins (m), dealt by what they end in."""
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
+def by_bucket(bucket: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, and where each bucket begins in it."""
+    return np.argsort(bucket.astype(np.uint16), kind="stable"), np.r_[0, np.cumsum(np.bincount(bucket, minlength=size))]
+
+
+def low_counts(blocks: DataFrame) -> list:
+    """Counts of orders 0 to 2, and of order 3 where a word begins: what every bucket needs. At most 2**24 codes of three
+    bytes and as many of four that follow white space, whatever the size of the corpus. One scan, and a shuffle of distinct codes."""
+    many = 16
+
+    def run(batches):
+        three, four = np.zeros(0, U), np.zeros(0, U)
+        for rows, data, at in common.blocks(batches, "text"):
+            train = ~rows.column(2).fill_null(False).to_numpy(zero_copy_only=False)
+            code, code_at, _, _ = contexts(data, at)
+            code = code[np.repeat(train, np.diff(code_at))]
+            three = distinct(np.concatenate([three, distinct(order(code, 3))]))
+            four = distinct(np.concatenate([four, distinct(order(code[after_space(code)], 4))]))
+        (a, x), (b, y) = by_bucket((mix(order(three, 2)) % U(many)).astype(np.int64), many), by_bucket((mix(order(four, 3)) % U(many)).astype(np.int64), many)
+        lists = [[codes[at[cut[i] : cut[i + 1]]] for i in range(many)] for codes, at, cut in ((three, a, x), (four, b, y))]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(many), pa.int64()), **{k: pa.array([len(c) for c in v], pa.int64()) for k, v in zip("nm", lists, strict=True)}, **{k: blob([squeezed(steps(c)) for c in v], many) for k, v in zip(("codes", "longs"), lists, strict=True)}})
+
+    def counted(rows: pa.Table) -> pa.Table:
+        out = []
+        for j, (size, codes) in ((2, ("n", "codes")), (3, ("m", "longs"))):
+            longer = distinct(np.concatenate([np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(rows.column(codes), rows.column(size).to_pylist(), strict=True)]))
+            code, n = kinds_of(longer, j)
+            out.append(pa.table({"j": pa.array(np.full(len(code), j, np.int32)), "code": pa.array(code.view(np.int64)), "n": pa.array(n)}))
+        return pa.concat_tables(out)
 
-    def batch(kind, part, code, n, m=None, **blobs):
-        column = lambda x: pa.array(x, pa.binary()) if x is not None else pa.nulls(len(code), pa.binary())
-        whole = {"kind": pa.array(np.full(len(code), kind, np.int32)), "part": pa.array(np.full(len(code), part, np.int64)), "code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64()), "m": pa.array(m if m is not None else np.zeros(len(code), np.int64), pa.int64())}
-        return pa.RecordBatch.from_pydict(whole | {k: column(blobs.get(k)) for k in ("codes", "counts", "longs", "uses")})
+    got = blocks.mapInArrow(run, "bucket long, n long, m long, codes binary, longs binary").groupBy("bucket").applyInArrow(counted, "j int, code long, n long").toArrow()
+    j, code, n = (got.column(i).to_numpy() for i in range(3))
+    two, three = (tally([(code[j == i].view(U), n[j == i])]) for i in (2, 3))
+    one = kinds_of(two[0], 1)
+    return [kinds_of(one[0], 0), one, two, three]
 
-    def by_bucket(bucket, size):
-        at = np.argsort(bucket.astype(np.uint16), kind="stable")
-        return at, np.r_[0, np.cumsum(np.bincount(bucket, minlength=size))]
 
-    def packed(part, grams, longs):
+def count(blocks: DataFrame) -> DataFrame:
+    """One scan; counts are uses in training texts, perhaps 0. WORD: n distinct words (codes) of a part in one bucket. GRAM: n
+    distinct codes of a part in one bucket, and m long contexts with symbols (longs): place of the code among the n, then the hash."""
+
+    def batch(kind, part, cut, deal, **blobs):
+        some = np.flatnonzero(np.diff(cut))
+        n = len(some)
+        whole = {"kind": pa.array(np.full(n, kind, np.int32)), "part": pa.array(np.full(n, part, np.int64)), "bucket": pa.array(some, pa.int64()), "n": pa.array(np.diff(cut)[some], pa.int64()), "m": pa.array(deal[some], pa.int64())}
+        return pa.RecordBatch.from_pydict(whole | {k: blob([f(b) for b in some] if f else None, n) for k, f in ((k, blobs.get(k)) for k in ("codes", "counts", "longs", "uses"))})
+
+    def packed(part, seen, grams, longs):
+        keys, n = merged(seen)
+        at, cut = by_bucket((mix(keys) % U(BUCKETS)).astype(np.int64), BUCKETS)
+        yield batch(WORD, part, cut, np.zeros(BUCKETS, np.int64), codes=lambda b: squeezed(steps(keys[at[cut[b] : cut[b + 1]]])), counts=lambda b: squeezed(n[at[cut[b] : cut[b + 1]]]))
         keys, n = merged(grams)
         bucket = bucket_of(keys)
         at, cut = by_bucket(bucket, BUCKETS)
@@ -252,27 +300,14 @@ def count(blocks: DataFrame) -> DataFrame:
         to, cut2 = by_bucket(bucket[where], BUCKETS)
         own = ((rank[where].astype(U) << U(40)) | h)[to]
         v = (((v & (_HELD - 1)) << 1) | (v >= _HELD))[to]
-        key = [squeezed(own[cut2[b] : cut2[b + 1]]) for b in range(BUCKETS)]
-        use = [squeezed(v[cut2[b] : cut2[b + 1]]) for b in range(BUCKETS)]
-        deal = np.diff(cut2)
-        some = np.flatnonzero(np.diff(cut))
-        cuts = [at[cut[b] : cut[b + 1]] for b in some]
-        yield batch(GRAM, part, some, np.diff(cut)[some], deal[some], codes=[squeezed(steps(keys[x])) for x in cuts], counts=[squeezed(n[x]) for x in cuts], longs=[key[b] for b in some], uses=[use[b] for b in some])
-        used = keys[n > 0]
-        three, four = np.unique(order(used, 3)), np.unique(order(used[after_space(used)], 4))
-        (a, c3), (b, c4) = by_bucket((mix(order(three, 2)) % U(16)).astype(np.int64), 16), by_bucket((mix(order(four, 3)) % U(16)).astype(np.int64), 16)
-        part3, part4 = [three[a[c3[i] : c3[i + 1]]] for i in range(16)], [four[b[c4[i] : c4[i + 1]]] for i in range(16)]
-        yield batch(LOW, part, np.arange(16), [len(x) for x in part3], [len(x) for x in part4], codes=[squeezed(steps(x)) for x in part3], longs=[squeezed(steps(x)) for x in part4])
+        yield batch(GRAM, part, cut, np.diff(cut2), codes=lambda b: squeezed(steps(keys[at[cut[b] : cut[b + 1]]])), counts=lambda b: squeezed(n[at[cut[b] : cut[b + 1]]]), longs=lambda b: squeezed(own[cut2[b] : cut2[b + 1]]), uses=lambda b: squeezed(v[cut2[b] : cut2[b + 1]]))
 
     def run(batches):
         held: dict = {}
 
         def flush():
-            for part, (seen, grams, longs) in sorted(held.items()):
-                keys, n = merged(seen)
-                for a in range(0, len(keys), 1 << 16):
-                    yield batch(WORD, part, keys[a : a + (1 << 16)].view(np.int64), n[a : a + (1 << 16)])
-                yield from packed(part, grams, longs)
+            for part, lists in sorted(held.items()):
+                yield from packed(part, *lists)
             held.clear()
 
         size = 0
@@ -284,8 +319,9 @@ def count(blocks: DataFrame) -> DataFrame:
             text_of = np.repeat(np.arange(len(owner)), np.diff(first))
             code, code_at, lead, h = contexts(data, at)
             code_of = np.repeat(np.arange(len(owner)), np.diff(code_at))
-            for part in np.unique(owner):
-                if held and part not in held:  # parts follow each other in a file: this one's turn is over
+            parts, begin = np.unique(owner, return_index=True)
+            for part in parts[np.argsort(begin)]:
+                if held and part not in held:  # parts follow each other in a file: the last one's turn is over
                     yield from flush()
                     size = 0
                 seen, grams, longs = held.setdefault(part, ([], [], []))
@@ -301,26 +337,7 @@ def count(blocks: DataFrame) -> DataFrame:
                 size = 0
         yield from flush()
 
-    return blocks.mapInArrow(run, COUNTS)
-
-
-def low_counts(counts: DataFrame) -> list:
-    """Counts of orders 0 to 2, and of order 3 where a word begins: what every bucket needs. At most 2**24 codes of three
-    bytes and as many of four that follow white space, whatever the size of the corpus."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        out = []
-        for j, (size, blob) in ((2, ("n", "codes")), (3, ("m", "longs"))):
-            longer = np.unique(np.concatenate([np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(rows.column(blob), rows.column(size).to_pylist(), strict=True)]))
-            code, n = kinds_of(longer, j)
-            out.append(pa.table({"j": pa.array(np.full(len(code), j, np.int32)), "code": pa.array(code.view(np.int64)), "n": pa.array(n)}))
-        return pa.concat_tables(out)
-
-    got = counts.where(F.col("kind") == LOW).groupBy("code").applyInArrow(run, "j int, code long, n long").toArrow()
-    j, code, n = (got.column(i).to_numpy() for i in range(3))
-    two, three = (tally([(code[j == i].view(U), n[j == i])]) for i in (2, 3))
-    one = kinds_of(two[0], 1)
-    return [kinds_of(one[0], 0), one, two, three]
+    return blocks.mapInArrow(run, "kind int, part long, bucket long, n long, m long, codes binary, counts binary, longs binary, uses binary")
 
 
 _bases: dict = {}
@@ -340,7 +357,7 @@ def bucket_trie(code: np.ndarray, n: np.ndarray, asked: np.ndarray, base: list[L
     four = kinds_of(code, 4)
     plain = kinds_of(four[0], 3)
     inner = ~after_space(plain[0])
-    want = np.unique(order(asked[after_space(asked)], 3) >> U(8))
+    want = distinct(order(asked[after_space(asked)], 3) >> U(8))
     a, b = np.searchsorted(begun[0], want << U(8)), np.searchsorted(begun[0], (want + U(1)) << U(8))
     group, place = spread(b - a)
     some = a[group] + place
@@ -348,50 +365,130 @@ def bucket_trie(code: np.ndarray, n: np.ndarray, asked: np.ndarray, base: list[L
     return Trie([three, four, (code, n)], base)
 
 
-def code_lengths(counts: DataFrame) -> DataFrame:
-    """(part, n, m, codes, logs, longs, uses): log10 of the probability of each code that a part uses, under the trie of all
-    training texts. Of its long contexts those come back that another use in the corpus tells something about."""
-    spark = counts.sparkSession
-    low = spark.sparkContext.broadcast(low_counts(counts))
+ANSWERS = "part long, kind int, bucket long, n long, m long, logs binary, told binary, longs binary"
+
+
+def own_rows(part: np.ndarray) -> list[tuple[int, list[int]]]:
+    """Each part and its rows; a part cut by splits has several."""
+    order = np.argsort(part, kind="stable")
+    return [(int(part[x[0]]), x.tolist()) for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1)]
+
+
+def answers(counts: DataFrame, low: list) -> DataFrame:
+    """What the parts asked for, a row for each part and bucket, in the sorted order of what is distinct in it, which the part finds
+    again from its texts. WORD: the uses of n words in training texts (logs); one row of a bucket tells how many of its words have any
+    (m). GRAM: log10 of the probability of each of n codes, under the trie of all training texts (logs); of its m long contexts, which
+    another use in the corpus tells something about (told: bits), and their logs (longs)."""
+    shared = counts.sparkSession.sparkContext.broadcast(low)
     name = uuid.uuid4().hex
 
-    def run(rows: pa.Table) -> pa.Table:
+    def table(rows, parts, n, m, **blobs):
+        whole = {"part": pa.array(parts, pa.int64()), "kind": pa.array([rows.column("kind")[0].as_py()] * len(parts), pa.int32()), "bucket": pa.array([rows.column("bucket")[0].as_py()] * len(parts), pa.int64()), "n": pa.array(n, pa.int64()), "m": pa.array(m, pa.int64())}
+        return pa.table(whole | {k: blob(blobs.get(k), len(parts)) for k in ("logs", "told", "longs")})
+
+    def known(rows: pa.Table) -> pa.Table:
+        n = rows.column("n").to_pylist()
+        keys = [np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(rows.column("codes"), n, strict=True)]
+        key, c = tally([*zip(keys, [loosened(x, k, np.int64) for x, k in zip(rows.column("counts"), n, strict=True)], strict=True)])
+        own = [(p, distinct(np.concatenate([keys[i] for i in x]))) for p, x in own_rows(rows.column("part").to_numpy())]
+        return table(rows, [p for p, _ in own], [len(k) for _, k in own], [int((c > 0).sum()), *[0] * (len(own) - 1)], logs=[squeezed(c[np.searchsorted(key, k)]) for _, k in own])
+
+    def lengths(rows: pa.Table) -> pa.Table:
         n, m = rows.column("n").to_pylist(), rows.column("m").to_pylist()
         codes = [np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(rows.column("codes"), n, strict=True)]
         code, c = tally([*zip(codes, [loosened(x, k, np.int64) for x, k in zip(rows.column("counts"), n, strict=True)], strict=True)])
         used = c > 0
-        trie = bucket_trie(code[used], c[used], code, base_levels(name, low.value), low.value[3])
+        trie = bucket_trie(code[used], c[used], code, base_levels(name, shared.value), shared.value[3])
         log = np.concatenate([trie.log10(code[i : i + (1 << 20)]) for i in range(0, len(code), 1 << 20)]).astype(np.float32)
         keys = [loosened(x, k, U) for x, k in zip(rows.column("longs"), m, strict=True)]
-        uses = [loosened(x, k, np.int64) for x, k in zip(rows.column("uses"), m, strict=True)]
-        own = np.concatenate([x[(k >> U(40)).astype(np.int64)] for x, k in zip(codes, keys, strict=True)])
-        use = np.concatenate(uses)
-        long, total = long_logs(trie, own, np.concatenate(keys) & U((1 << 40) - 1), (use >> 1).astype(float))
-        told = (total > 0) & ~((use == 2) & (total == 1))
-        at = np.r_[0, np.cumsum(m)]
-        pick = [np.flatnonzero(told[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({
-            "part": rows.column("part"), "n": rows.column("n"), "m": pa.array([len(x) for x in pick], pa.int64()), "codes": rows.column("codes"),
-            "logs": pa.array([squeezed(log[np.searchsorted(code, x)]) for x in codes], pa.binary()),
-            "longs": pa.array([squeezed(k[x]) for k, x in zip(keys, pick, strict=True)], pa.binary()),
-            "uses": pa.array([squeezed(long[a + x].astype(np.float32)) for a, x in zip(at[:-1], pick, strict=True)], pa.binary()),
-        })
-
-    grams = counts.where(F.col("kind") == GRAM).select("part", F.col("code").alias("bucket"), "n", "m", "codes", "counts", "longs", "uses")
-    return grams.groupBy("bucket").applyInArrow(run, "part long, n long, m long, codes binary, logs binary, longs binary, uses binary")
-
-
-def word_counts(counts: DataFrame) -> tuple[DataFrame, int, int]:
-    """(part, code, n) with the corpus count of each known word of each part; uses and kinds of words in all.
-
-    Sums are combined before they are shuffled. A word of very many parts joins by a broadcast, so no task gets all its rows."""
-    own = counts.where(F.col("kind") == WORD).select("part", "code", "n")
-    whole = common.materialize(own.groupBy("code").agg(F.sum("n").alias("c"), F.count("*").alias("parts")).where("c > 0"))
-    uses, kinds, rows = whole.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("parts"), F.lit(0))).first()
-    hot = whole.where(F.col("parts") > rows / HOT).where("parts > 8").select("code", F.col("c").alias("n"))  # HOT rows at most
-    own = own.select("part", "code")
-    cold = own.join(F.broadcast(hot), "code", "left_anti").join(whole.select("code", F.col("c").alias("n")).hint("merge"), "code")
-    return own.join(F.broadcast(hot), "code").unionByName(cold).select("part", "code", "n"), uses, kinds
+        uses_of = [loosened(x, k, np.int64) for x, k in zip(rows.column("uses"), m, strict=True)]
+        own = []
+        for p, x in own_rows(rows.column("part").to_numpy()):
+            mine = distinct(np.concatenate([codes[i] for i in x])) if len(x) > 1 else codes[x[0]]
+            place = [np.searchsorted(mine, codes[i][(keys[i] >> U(40)).astype(np.int64)]).astype(U) for i in x]
+            both = np.concatenate([(a << U(40)) | (keys[i] & U((1 << 40) - 1)) for a, i in zip(place, x, strict=True)])
+            v = np.concatenate([((uses_of[i] & 1) << 32) + (uses_of[i] >> 1) for i in x])
+            both, v = tally([(both, v)]) if len(x) > 1 else (both, v)
+            own.append((p, mine, mine[(both >> U(40)).astype(np.int64)], both & U((1 << 40) - 1), v))
+        at = np.r_[0, np.cumsum([len(o[2]) for o in own])]
+        v = np.concatenate([o[4] for o in own])
+        long, total = long_logs(trie, np.concatenate([o[2] for o in own]), np.concatenate([o[3] for o in own]), (v & (_HELD - 1)).astype(float))
+        told = (total > 0) & ~((v == 1) & (total == 1))
+        long = long.astype(np.float32)
+        cuts = list(zip(at[:-1], at[1:], strict=True))
+        return table(
+            rows, [o[0] for o in own], [len(o[1]) for o in own], np.diff(at).tolist(), logs=[squeezed(log[np.searchsorted(code, o[1])]) for o in own],
+            told=[np.packbits(told[a:b]).tobytes() for a, b in cuts], longs=[squeezed(long[a:b][told[a:b]]) for a, b in cuts],
+        )
+
+    def run(rows: pa.Table) -> pa.Table:
+        return known(rows) if rows.column("kind")[0].as_py() == WORD else lengths(rows)
+
+    return counts.groupBy("kind", "bucket").applyInArrow(run, ANSWERS)
+
+
+class Answered:
+    """The answers to one part: word counts, and logs of codes and of long contexts, by what is distinct in its texts."""
+
+    def __init__(self, told: pa.Table, texts):
+        """texts: yields (bytes, offsets) of the part's blocks."""
+        seen, grams, begun = [np.zeros(0, U)], [np.zeros(0, U)], [(np.zeros(0, U), np.zeros(0, U))]
+        for data, at in texts:
+            start, end, _ = words(LOWER[data], at)
+            seen.append(distinct(word_hashes(LOWER[data], start, end)))
+            code, _, lead, h = contexts(data, at)
+            grams.append(distinct(code))
+            begun.append((code[lead], h))
+        seen, grams = distinct(np.concatenate(seen)), distinct(np.concatenate(grams))
+        self.words, self.codes = HashIndex(seen), HashIndex(grams)
+        told = told.sort_by("bucket")
+        word, gram = (told.filter(pc.equal(told.column("kind"), k)) for k in (WORD, GRAM))
+        self.kinds = pc.sum(word.column("m")).as_py() or 0
+        to = self._matched(by_bucket((mix(seen) % U(BUCKETS)).astype(np.int64), BUCKETS), word, "n")
+        self.count = np.zeros(len(seen) + 1, np.int64)
+        self.count[to] = self._joined(word, "logs", "n", np.int64)
+        bucket = bucket_of(grams)
+        to = self._matched(by_bucket(bucket, BUCKETS), gram, "n")
+        self.log = np.zeros(len(grams))
+        self.log[to] = self._joined(gram, "logs", "n", np.float32)
+        code, h = (np.concatenate(x) for x in zip(*begun, strict=True))
+        key = distinct((self.codes.find(code).astype(U) << U(40)) | h)
+        place = (key >> U(40)).astype(np.int64)
+        to = self._matched(by_bucket(bucket[place], BUCKETS), gram, "m")
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(gram.column("told").to_pylist(), gram.column("m").to_pylist(), strict=True)]
+        some = to[np.concatenate([*bits, np.zeros(0, np.uint8)]) > 0]
+        self.longs = HashIndex(long_ids(grams[place[some]], key[some] & U((1 << 40) - 1))[1])
+        logs = [loosened(x, int(b.sum()), np.float32) for x, b in zip(gram.column("longs"), bits, strict=True)]
+        self.long_log = np.r_[np.concatenate([*logs, np.zeros(0, np.float32)]).astype(float), 0.0]
+
+    @staticmethod
+    def _matched(dealt: tuple[np.ndarray, np.ndarray], rows: pa.Table, size: str) -> np.ndarray:
+        n = np.zeros(BUCKETS, np.int64)
+        n[rows.column("bucket").to_numpy()] = rows.column(size).to_numpy()
+        if (np.diff(dealt[1]) != n).any():
+            raise ValueError("a part's texts differ between the two scans")
+        return dealt[0]
+
+    @staticmethod
+    def _joined(rows: pa.Table, column: str, size: str, dtype) -> np.ndarray:
+        return np.concatenate([*[loosened(x, k, dtype) for x, k in zip(rows.column(column), rows.column(size).to_pylist(), strict=True)], np.zeros(0, dtype)])
+
+
+def packed_texts(blocks: DataFrame) -> DataFrame:
+    """The texts of each block and part: doc_id, held_out (2: null), sizes and the zipped text, so that they are cheap to shuffle."""
+
+    def run(batches):
+        for rows, data, at in common.blocks(batches, "text"):
+            owner = rows.column(3).to_numpy()
+            for part in np.unique(owner):
+                here = np.flatnonzero(owner == part)
+                group, place = spread(np.diff(at)[here])
+                text = data if len(here) == len(owner) else data[at[here][group] + place]
+                ids = rows.column(0).take(pa.array(here))
+                values = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), rows.column(2).take(pa.array(here)).cast(pa.int8()).fill_null(2).to_numpy(), np.diff(at)[here]]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "rows": pa.array([len(here)], pa.int64()), **{k: blob([squeezed(v)], 1) for k, v in zip(("ids", "valid", "held", "sizes"), values, strict=True)}, "text": blob([zipped(text)], 1)})
+
+    return blocks.mapInArrow(run, "part long, rows long, ids binary, valid binary, held binary, sizes binary, text binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -400,57 +497,53 @@ def score(docs: DataFrame) -> DataFrame:
     Null texts count as empty: one end token and one end symbol. Repeated rows are scored each; a null doc_id belongs to
     the training rows and has a null held_out; other columns are ignored. Without training rows every byte is uniform.
     """
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     blocks, parts = blocked(docs)
-    counts = common.materialize(count(blocks))
-    known, n_words, n_kinds = word_counts(counts)
-    ends = docs.select((F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("h")).where("h is null or not h").count()
-    answers = known.unionByName(code_lengths(counts), allowMissingColumns=True)
-    tokens, kinds = n_words + ends, n_kinds + (ends > 0)
+    told = answers(count(blocks), low_counts(blocks))
     alone = np.log10(1 - DISCOUNT)  # a long context seen once, in this very place
 
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        grams = known.filter(pc.is_valid(known.column("codes")))
-        known = known.filter(pc.is_null(known.column("codes")))
-        n, m = grams.column("n").to_pylist(), grams.column("m").to_pylist()
-        codes = [np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(grams.column("codes"), n, strict=True)]
-        keys = [loosened(x, k, U) for x, k in zip(grams.column("longs"), m, strict=True)]
-        begun = np.concatenate([*[x[(k >> U(40)).astype(np.int64)] for x, k in zip(codes, keys, strict=True)], np.zeros(0, U)])
-        _, ids = long_ids(begun, np.concatenate([*keys, np.zeros(0, U)]) & U((1 << 40) - 1))
-        long_log = np.concatenate([*[loosened(x, k, np.float32) for x, k in zip(grams.column("uses"), m, strict=True)], np.zeros(0, np.float32)]).astype(float)
-        logs = np.concatenate([*[loosened(x, k, np.float32) for x, k in zip(grams.column("logs"), n, strict=True)], np.zeros(0, np.float32)]).astype(float)
-        codes, one = np.unique(np.concatenate([*codes, np.zeros(0, U)]), return_index=True)
-        trie, logs = HashIndex(codes), logs[one]
-        ids, one = np.unique(ids, return_index=True)
-        told, long_log = HashIndex(ids), long_log[one]
-        index = HashIndex(known.column("code").to_numpy().view(U))
-        c = np.r_[known.column("n").to_numpy(), 0].astype(float)
-        log = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        log_end = float(np.log10((ends + 0.5) / (tokens + 0.5 * (kinds + 1))))
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        rows = texts.to_pylist()
+
+        def opened(x):
+            at = np.r_[0, np.cumsum(loosened(x["sizes"], x["rows"], np.int64))]
+            return unzipped(x["text"], int(at[-1])), at
+
+        part = Answered(told, map(opened, rows))
+        log = np.log10(part.count + 0.5)
         out = []
-        for rows, data, at in common.blocks(texts.combine_chunks().to_batches(), "text"):
-            held = rows.column(rows.schema.get_field_index("held_out"))
+        for x in rows:
+            n = x["rows"]
+            doc_id, valid, held = (loosened(x[k], n, t) for k, t in (("ids", np.int64), ("valid", bool), ("held", np.int8)))
+            data, at = opened(x)
             start, end, first = words(LOWER[data], at)
-            found = index.find(word_hashes(LOWER[data], start, end))
+            found = part.words.find(word_hashes(LOWER[data], start, end))
             code, code_at, lead, h = contexts(data, at)
-            place = trie.find(code)
-            if (place < 0).any():
-                raise ValueError("a part's texts differ between the two scans")
-            each = logs[place]
-            at_long = told.find(long_ids(code[lead], h)[1])
-            train = ~held.fill_null(False).to_numpy(zero_copy_only=False)
-            own = train[np.searchsorted(code_at, lead, "right") - 1]
-            each[lead] = np.where(at_long >= 0, np.r_[long_log, 0.0][at_long], np.where(own, alone, each[lead]))
-            n = np.diff(first) + 1
-            out.append(pa.RecordBatch.from_pydict({
-                "doc_id": rows.column(rows.schema.get_field_index("doc_id")), "held_out": held, "n_tokens": pa.array(n),
-                "n_known": pa.array(sums(found >= 0, first).astype(np.int64) + (ends > 0)), "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
-                "base_score": pa.array(sums(log[found], first) + log_end), "score": pa.array(sums(each, code_at)),
+            each = part.log[part.codes.find(code)]
+            at_long = part.longs.find(long_ids(code[lead], h)[1])
+            own = held[np.searchsorted(code_at, lead, "right") - 1] != 1
+            each[lead] = np.where(at_long >= 0, part.long_log[at_long], np.where(own, alone, each[lead]))
+            out.append(pa.table({
+                "doc_id": pa.array(doc_id, mask=~valid), "held_out": pa.array(held == 1, mask=held == 2), "n_tokens": pa.array(np.diff(first) + 1),
+                "n_known": pa.array(sums(part.count[found] > 0, first).astype(np.int64)), "word_log": pa.array(sums(log[found], first)), "score": pa.array(sums(each, code_at)), "kinds": pa.array(np.zeros(n, np.int64)),
             }))
-        return pa.Table.from_batches(out, schema)
+        out = pa.concat_tables(out) if out else schema.empty_table()
+        if len(out):
+            out = out.set_column(6, "kinds", pa.array(np.r_[part.kinds, np.zeros(len(out) - 1, np.int64)]))
+        return out
 
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    wide = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return blocks.repartition(wide, "part").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("word_log", pa.float64()), ("score", pa.float64()), ("kinds", pa.int64())])
+    wide = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = packed_texts(blocks).repartition(wide, "part")
+    scored = texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, word_log double, score double, kinds long")
+    scored = common.materialize(scored)
+    # The corpus counts of tokens, ends and kinds enter a base score as one term a token, so they may come last.
+    trained = F.coalesce(~F.col("held_out"), F.lit(True))
+    tokens, ends, kinds = scored.agg(F.coalesce(F.sum(F.when(trained, F.col("n_tokens"))), F.lit(0)), F.count_if(trained), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    rest = float(np.log10(tokens + 0.5 * (kinds + (ends > 0) + 1)))
+    base = F.col("word_log") + float(np.log10(ends + 0.5)) - F.col("n_tokens") * rest
+    return scored.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
