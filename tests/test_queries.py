@@ -8,10 +8,9 @@ from tracewright.plans import registry
 D = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in registry.QUERIES.items() if sql])
+@pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
-    f, sql = registry.QUERIES[name]
-    check(spark, f, sql, D)
+    check(spark, registry.queries()[name], registry.oracle_sql()[name], D)
 
 
 def test_entry_is_guarded(spark):

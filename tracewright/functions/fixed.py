@@ -70,3 +70,22 @@ RESIDUAL = [
     (PS, r"(?i)\[System\.Text\.Encoding\]::(?:Unicode|UTF8)\.GetString\s*\(", 0.9), (PS, r"(?i)`[A-Za-z]", 0.5), (PS, r"(?i)\bNew-Object\b", 0.4),
 ]
 COMMENT_STARTS = ("#", "//", "/*", "<!--", "<#", "REM ")
+
+# Generic obfuscation techniques, name and pattern, in the order in which they are reported.
+TECHNIQUES = [
+    ("base64_encoding", r"(?i)(?:atob\s*\(|b64decode\s*\(|FromBase64String\s*\(|[A-Za-z0-9+/]{20,}={0,2})"),
+    ("hex_encoding", r"(?:\\x[0-9a-fA-F]{2}){4,}|(?:0x[0-9a-fA-F]{2}\s*,?\s*){4,}|(?:[0-9a-fA-F]{2}){16,}"),
+    ("char_code_construction", r"(?i)(?:String\.fromCharCode|\bchr\s*\(|\bChr\s*\(|\[char\]\s*)"),
+    ("string_concatenation", r"""(?:["'][^"'\\]{0,8}["']\s*(?:\+|&|\.)\s*){3,}"""),
+    ("eval_exec", r"(?i)\b(?:eval|exec|Invoke-Expression|IEX|Execute|ExecuteGlobal)\s*[\(]"),
+    ("variable_renaming", r"\b(?:_0x[a-fA-F0-9]{4,}|[Il]{6,}|_[A-Za-z0-9]{1,4})\b"),
+    ("array_indexing", r"(?i)\b\w+\s*\[\s*(?:0x[0-9a-fA-F]+|\d+)\s*\]"),
+    ("xor_encryption", r"(?i)(?:\^|\bxor\b|-bxor\b)"),
+    ("dean_edwards_packer", r"(?i)eval\s*\(\s*function\s*\(\s*p\s*,\s*a\s*,\s*c\s*,\s*k\s*,\s*e\s*,\s*[dr]\s*\)"),
+    ("control_flow_flattening", r"(?i)(?:while\s*\(\s*(?:true|!0|1)\s*\)\s*\{?\s*switch|for\s*\(\s*;\s*;\s*\)\s*\{?\s*switch)"),
+    ("junk_code", r"(?i)(?:if\s*\(\s*false\s*\)|if\s*\(\s*0\s*\)|if\s*\(\s*!\s*1\s*\)|\bpass\b|void\s*\(?\s*0\s*\)?)"),
+    ("reflection", r"(?i)(?:GetType|GetMethod|Reflection|Assembly\.Load|Type\.GetMethod|Activator\.CreateInstance|\[scriptblock\]::Create|getattr\s*\()"),
+    ("string_encryption", r"(?i)(?:decrypt|decipher|decode|unscramble)\s*\("),
+    ("powershell_encoded_command", r"(?i)-(?:EncodedCommand|enc)\s+[A-Za-z0-9+/=]{20,}"),
+    ("python_serialization", r"(?i)(?:pickle|marshal)\.loads\s*\(|zlib\.decompress\s*\("),
+]

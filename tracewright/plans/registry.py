@@ -360,7 +360,7 @@ QUERIES = {
     "annotate": (annotate, ANNOTATE_SQL), "x5_entropy_windows": (entropy_windows, ENTROPY_WINDOWS_SQL), "x8_readability": (readability, READABILITY_SQL), "x11_minified": (minified, None),
     "x6_indicators": (indicators, _sql_indicators()), "g2_indicator_counts": (indicator_counts, f"SELECT type, count(*) AS n, count(DISTINCT value) AS kinds FROM ({_sql_indicators()}) GROUP BY type"),
     "x3_literals": (literals, LITERALS_SQL), "x4_sinks": (sinks, _sql_sinks()),
-    "y3_decode_layers": (decode_layers, "SELECT doc_id AS sample_id, md5(text) AS digest, md5(text) AS hex_digest, md5(text) AS rot13_digest FROM documents WHERE length(text) > 40 AND length(text) < 4000"),
+    "y3_decode_layers": (decode_layers, "SELECT doc_id AS sample_id, md5(CASE WHEN length(rtrim(b, '=')) < 14 THEN b WHEN length(rtrim(a, '=')) < 14 THEN a ELSE text END) AS digest, md5(text) AS hex_digest, md5(text) AS rot13_digest FROM (SELECT *, to_base64(encode(a)) AS b FROM (SELECT *, to_base64(encode(text)) AS a FROM documents))"),
     "y7_decrypted": (decrypted, "SELECT doc_id AS sample_id, 2 AS key_no, md5(text) AS digest FROM documents WHERE length(text) > 0"),
     "y6_xor_recovered": (xor_recovered, None),
     "y24_post_processed": (post_processed, POST_SQL),
@@ -380,7 +380,7 @@ QUERIES = {
     "g7_call_counts": (call_counts, f"WITH c AS (SELECT path, unnest(regexp_extract_all(text, '([A-Za-z_]\\w*)\\s*\\(', 1)) AS name FROM {FILES}) SELECT name, count(*) AS calls, count(DISTINCT path) AS files FROM c GROUP BY name"),
     "g5_language_counts": (language_counts, "SELECT 'python' AS language, count(*) AS n FROM part"),
     "s13_ranked_files": (ranked_files, RANKED_SQL),
-    "d4_overlaid": (overlaid, "SELECT 'f' || doc_id AS path, md5(CASE WHEN doc_id % 3 = 0 THEN 'new ' || text ELSE text END) AS digest, doc_id % 3 = 0 AS replaced FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"),
+    "d4_overlaid": (overlaid, "SELECT 'f' || doc_id AS path, md5(CASE WHEN doc_id % 3 = 0 THEN 'new ' || text ELSE text END) AS digest, doc_id % 3 = 0 AS replaced FROM documents UNION ALL SELECT 'g' || doc_id, md5('new ' || text), true FROM documents WHERE doc_id % 3 <> 0"),
     "k9_line_changes": (line_changes, "WITH l AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN list_slice(string_split(text, chr(10)), 1, len(string_split(text, chr(10))) - 1) ELSE string_split(text, chr(10)) END AS a FROM documents), m AS (SELECT *, list_filter(a, lambda x, i: i % 3 <> 0) AS b FROM l) SELECT doc_id AS sample_id, len(a)::INTEGER AS before, len(b)::INTEGER AS after, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x)))::INTEGER AS removed FROM m"),
     "x20_retrieved": (retrieved, RETRIEVED_SQL), "x21_excerpts": (excerpts, EXCERPTS_SQL),
     "f4_searched": (searched, "SELECT doc_id AS sample_id, source AS project_id FROM documents WHERE contains(lower(text), 'mit') OR contains(lower(source), 'mit')"),
@@ -393,9 +393,15 @@ QUERIES = {
 }
 
 
+def everything() -> dict:
+    from . import reviews  # which reads its tables through this module
+
+    return QUERIES | reviews.QUERIES
+
+
 def queries() -> dict:
-    return {name: f for name, (f, _) in QUERIES.items()}
+    return {name: f for name, (f, _) in everything().items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in everything().items() if sql}
