@@ -109,7 +109,7 @@ def op7_sql() -> str:
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     s AS MATERIALIZED ({" UNION ALL ".join(_sql_matches(k) for k in KINDS)}),
     p AS (SELECT *, CASE kind {role} END AS role FROM s),
-    w AS (SELECT a.r, a.rank, a.kind, a.start, a.stop FROM s a JOIN p b ON a.r = b.r AND abs(a.start - b.start) <= {SCOPE}
+    w AS (SELECT a.r, a.rank, a.kind, a.start, a.stop FROM s a JOIN p b ON a.r = b.r AND greatest(a.start, b.start) - least(a.stop, b.stop) <= {SCOPE}
           WHERE a.rank >= {len(STRONG)} GROUP BY a.r, a.rank, a.kind, a.start, a.stop HAVING {needs.replace("kind =", "a.kind =")}),
     u AS (SELECT * FROM s WHERE rank < {len(STRONG)} UNION ALL SELECT r, rank, kind, start, stop FROM w),
     g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
