@@ -89,3 +89,44 @@ TECHNIQUES = [
     ("powershell_encoded_command", r"(?i)-(?:EncodedCommand|enc)\s+[A-Za-z0-9+/=]{20,}"),
     ("python_serialization", r"(?i)(?:pickle|marshal)\.loads\s*\(|zlib\.decompress\s*\("),
 ]
+
+# Dangerous calls by language, (name, severity, pattern of the call), in the order that breaks ties of severity.
+# ARG is the argument of a call: brackets in it may be nested twice.
+ARG = r"\(\s*([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*)\)"
+SINKS = {
+    "javascript": [
+        ("eval", "high", r"\beval\s*" + ARG),
+        ("Function", "high", r"\bnew\s+Function\s*" + ARG),
+        ("Function_call", "high", r"\bFunction\s*" + ARG),
+        ("setTimeout_string", "medium", r"\bsetTimeout\s*\(\s*(['\"](?:[^'\"\\]|\\.)*['\"])\s*,"),
+        ("setInterval_string", "medium", r"\bsetInterval\s*\(\s*(['\"](?:[^'\"\\]|\\.)*['\"])\s*,"),
+        ("document_write", "medium", r"\bdocument\.write(?:ln)?\s*" + ARG),
+        ("innerHTML", "medium", r"\.innerHTML\s*=\s*([^\n;]+)"),
+    ],
+    "python": [
+        ("eval", "high", r"\beval\s*" + ARG),
+        ("exec", "high", r"\bexec\s*" + ARG),
+        ("compile", "medium", r"\bcompile\s*" + ARG),
+        ("__import__", "medium", r"\b__import__\s*" + ARG),
+        ("os_system", "high", r"\bos\.system\s*" + ARG),
+        ("subprocess", "high", r"\bsubprocess\.(?:call|run|Popen|check_output)\s*" + ARG),
+        ("getattr", "low", r"\bgetattr\s*" + ARG),
+    ],
+    "powershell": [
+        ("Invoke-Expression", "high", r"(?i)\b(?:Invoke-Expression|iex)\s+([^\n|;]+)"),
+        ("IEX_pipe", "high", r"(?i)(\|\s*(?:Invoke-Expression|iex)\b)"),
+        ("Invoke_method", "high", r"\.Invoke\s*" + ARG),
+        ("ScriptBlock_Create", "high", r"(?i)\[ScriptBlock\]::Create\s*" + ARG),
+        ("EncodedCommand", "high", r"(?i)-(?:EncodedCommand|enc)\s+([^\s;|]+)"),
+        ("DownloadString", "high", r"(?i)\.DownloadString\s*" + ARG),
+        ("Start-Process", "medium", r"(?i)\bStart-Process\s+([^\n|;]+)"),
+    ],
+    "csharp": [
+        ("Assembly_Load", "high", r"\bAssembly\.Load(?:From|File)?\s*" + ARG),
+        ("Activator_CreateInstance", "high", r"\bActivator\.CreateInstance\s*" + ARG),
+        ("Process_Start", "high", r"\bProcess\.Start\s*" + ARG),
+        ("Invoke_Member", "high", r"\.InvokeMember\s*" + ARG),
+        ("DynamicInvoke", "high", r"\.DynamicInvoke\s*" + ARG),
+        ("CompileAssemblyFromSource", "high", r"\.CompileAssemblyFromSource\s*" + ARG),
+    ],
+}

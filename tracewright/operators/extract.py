@@ -57,20 +57,22 @@ def literals(samples: DataFrame) -> DataFrame:
     )
 
 
-#: Calls: (name, severity, pattern); the list's order breaks ties of severity.
-SINKS = [
-    ("eval", "high", r"\beval\s*\("), ("function_constructor", "high", r"\bnew\s+Function\s*\("), ("document_write", "medium", r"\bdocument\.write\s*\("),
-    ("timer_string", "medium", r"\bset(?:Timeout|Interval)\s*\(\s*['\"]"), ("inner_html", "low", r"\.innerHTML\s*="), ("script_tag", "low", r"(?i)<script\b"),
-]
-
-
 def sinks(samples: DataFrame) -> DataFrame:
-    """(sample_id, api, severity, position, rank): dangerous calls, ranked high to low, then by kind and position."""
-
-    def named(kind, api, severity, found):
-        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(api).alias("api"), F.lit(severity).alias("severity"), x["start"].alias("position")))
-
-    kinds = [named(i, api, severity, spans(F.col("text"), pattern, 0)) for i, (api, severity, pattern) in enumerate(SINKS)]
+    """(sample_id, api, severity, argument, position, rank): dangerous calls of the sample's language, ranked high to low, then by kind and
+    position. A sample of another language, or of none, is searched for the calls of all; a call that two of them name alike counts once."""
+
+    def named(kind, api, severity):
+        return lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(api).alias("api"), F.lit(severity).alias("severity"), F.substring(F.trim(x["value"]), 1, 500).alias("argument"), x["start"].alias("position"))
+
+    language, known = F.col("language"), list(fixed.SINKS)
+    kinds, seen = [], set()
+    for lang, table in fixed.SINKS.items():
+        for api, severity, pattern in table:
+            # The first language of a name finds it for samples of unknown language.
+            own = (language == lang) if api in seen else (language == lang) | ~F.coalesce(language.isin(known), F.lit(False))
+            seen.add(api)
+            none = F.array().cast("array<struct<kind:int,api:string,severity:string,argument:string,position:int>>")
+            kinds.append(F.when(own, F.transform(spans(F.col("text"), pattern), named(len(kinds), api, severity))).otherwise(none))
     rows = samples.select("sample_id", F.inline(F.concat(*kinds)))
     order = Window.partitionBy("sample_id").orderBy(F.array_position(F.array(*map(F.lit, ("high", "medium", "low"))), F.col("severity")), "kind", "position")
     return rows.withColumn("rank", F.row_number().over(order)).drop("kind")

@@ -149,12 +149,32 @@ SELECT page_id AS sample_id, count(*) AS n, count(*) FILTER (regexp_matches(v, '
 count(*) FILTER (length(v) > 50) AS "long", (min(instr(html, f)) - 1)::INTEGER AS first FROM u GROUP BY page_id"""
 
 
+#: Lines of code that hold a call of each language, and calls that are none.
+SINK_LINES = """eval(f(g(1), 2)); new Function('a', b(c)); el.innerHTML = x + y; setTimeout('run()', 9); setTimeout(run, 9); document.writeln(z)
+exec(a); os.system('ls'); subprocess.run(['x']); getattr(o, 'n'); __import__('os'); recompile(x); evaluate(q)
+IEX $a; $b | iex; $m.Invoke($x); powershell -enc QUJD; $w.DownloadString('u'); Start-Process calc
+Assembly.LoadFrom(p); Activator.CreateInstance(t); d.DynamicInvoke(1); Process.Start('x'); eval(("""
+
+
+def scripts(spark, d):
+    """A script of every page: its text and lines of code, in one of five languages, one of them unknown."""
+    p = read(spark, d, "pages")
+    lang = F.element_at(F.array(*map(F.lit, ("javascript", "python", "powershell", "csharp", "other"))), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
+    return p.select(F.col("page_id").alias("sample_id"), F.concat(F.lit(SINK_LINES + "\n"), F.coalesce("html", F.lit(""))).alias("text"), lang.alias("language"))
+
+
 def sinks(spark, d):
-    return extract.sinks(pages(spark, d)).groupBy("sample_id", "api", "severity").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
+    return extract.sinks(scripts(spark, d)).groupBy("sample_id", "api", "severity").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
 
 
-def _sql_sinks() -> str:
-    parts = [f"SELECT page_id, {i} AS kind, '{n}' AS api, '{v}' AS severity, unnest(range(len(regexp_extract_all(html, {q(p)})))) AS o FROM pages" for i, (n, v, p) in enumerate(extract.SINKS)]
+def _sql_sinks(scripts: bool = False) -> str:
+    """Of pages, whose language is JavaScript, or of scripts."""
+    text, parts, seen = (f"{q(SINK_LINES)} || chr(10) || coalesce(html, '')" if scripts else "html"), [], set()
+    for j, (lang, table) in enumerate(fixed.SINKS.items()):
+        for name, severity, p in table:
+            where = f"page_id % 5 = {j}" + ("" if name in seen else " OR page_id % 5 = 4") if scripts else str(lang == "javascript")
+            seen.add(name)
+            parts.append(f"SELECT page_id, {len(parts)} AS kind, '{name}' AS api, '{severity}' AS severity, unnest(range(len(regexp_extract_all({text}, {q(p)})))) AS o FROM pages WHERE {where}")
     return f"WITH s AS ({' UNION ALL '.join(parts)}), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, kind, o) AS rank FROM s) SELECT page_id AS sample_id, api, severity, count(*) AS n, min(rank)::INTEGER AS first_rank FROM r GROUP BY ALL"
 
 
@@ -359,7 +379,7 @@ def folded_literals(spark, d):
 QUERIES = {
     "annotate": (annotate, ANNOTATE_SQL), "x5_entropy_windows": (entropy_windows, ENTROPY_WINDOWS_SQL), "x8_readability": (readability, READABILITY_SQL), "x11_minified": (minified, None),
     "x6_indicators": (indicators, _sql_indicators()), "g2_indicator_counts": (indicator_counts, f"SELECT type, count(*) AS n, count(DISTINCT value) AS kinds FROM ({_sql_indicators()}) GROUP BY type"),
-    "x3_literals": (literals, LITERALS_SQL), "x4_sinks": (sinks, _sql_sinks()),
+    "x3_literals": (literals, LITERALS_SQL), "x4_sinks": (sinks, _sql_sinks(True)),
     "y3_decode_layers": (decode_layers, "SELECT doc_id AS sample_id, md5(CASE WHEN length(rtrim(b, '=')) < 14 THEN b WHEN length(rtrim(a, '=')) < 14 THEN a ELSE text END) AS digest, md5(text) AS hex_digest, md5(text) AS rot13_digest FROM (SELECT *, to_base64(encode(a)) AS b FROM (SELECT *, to_base64(encode(text)) AS a FROM documents))"),
     "y7_decrypted": (decrypted, "SELECT doc_id AS sample_id, 2 AS key_no, md5(text) AS digest FROM documents WHERE length(text) > 0"),
     "y6_xor_recovered": (xor_recovered, None),

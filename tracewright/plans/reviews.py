@@ -34,11 +34,11 @@ def regex_search(spark, d):
 
 
 def high_findings(spark, d):
-    return review.severe(extract.sinks(R.pages(spark, d)), "high", "api", "EV").groupBy("sample_id").agg(F.count("*").alias("n"))
+    return review.severe(extract.sinks(R.scripts(spark, d)), "high", "api", "EV").groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
 def severity_counts(spark, d):
-    return extract.sinks(R.pages(spark, d)).groupBy("severity").agg(F.count("*").alias("n"))
+    return extract.sinks(R.scripts(spark, d)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 def page_techniques(spark, d):
@@ -110,8 +110,8 @@ QUERIES = {
     "f2_one_conversation": (one_conversation, "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations WHERE conv_id = 3"),
     "f3_project_lists": (project_lists, "SELECT doc_id AS sample_id, source AS project_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC)::INTEGER AS place FROM documents"),
     "f5_regex_search": (regex_search, "SELECT doc_id AS sample_id, source AS project_id FROM documents WHERE regexp_matches(concat_ws(chr(10), text, source, lang), '(?i)licen[cs]e|\\bcc-by\\b')"),
-    "f6_high_findings": (high_findings, f"SELECT sample_id, sum(n)::BIGINT AS n FROM ({R._sql_sinks()}) WHERE severity = 'high' AND contains(lower(api), 'ev') GROUP BY sample_id"),
-    "g3_severity_counts": (severity_counts, f"SELECT severity, sum(n)::BIGINT AS n FROM ({R._sql_sinks()}) GROUP BY severity"),
+    "f6_high_findings": (high_findings, f"SELECT sample_id, sum(n)::BIGINT AS n FROM ({R._sql_sinks(True)}) WHERE severity = 'high' AND contains(lower(api), 'ev') GROUP BY sample_id"),
+    "g3_severity_counts": (severity_counts, f"SELECT severity, sum(n)::BIGINT AS n FROM ({R._sql_sinks(True)}) GROUP BY severity"),
     "x2_techniques": (page_techniques, f"SELECT sample_id, array_to_string(t, ',') AS techniques, round({CONF}, 6)::DOUBLE AS confidence FROM {TECH_SQL}"),
     "g15_top_techniques": (top_techniques, f"SELECT sample_id, array_to_string(list_slice(list_reverse(t), 1, 5), ',') AS techniques FROM {TECH_SQL}"),
     "o9_detections": (detections, f"SELECT len(t)::INTEGER AS n, sample_id, (row_number() OVER w)::INTEGER AS place, round({CONF}, 6)::DOUBLE AS confidence FROM {TECH_SQL} WINDOW w AS (PARTITION BY len(t) ORDER BY sample_id) QUALIFY row_number() OVER w <= 10"),
