@@ -18,6 +18,7 @@ from .textnum import U
 
 N = 4
 DISCOUNT = 0.75
+CHUNK = 1 << 18  # characters counted at a time, in whole texts
 _ROLL, _SPREAD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _fold: list = []
 
@@ -145,24 +146,28 @@ class Model:
 
 def estimate(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, np.ndarray]:
     """Levels and `unseen` of the interpolated Kneser-Ney models of (characters, text starts) of each language."""
-    langs = len(parts)
-    chars = np.concatenate([c for c, _ in parts])
-    lang = np.repeat(np.arange(langs), [len(c) for c, _ in parts])
-    start = np.concatenate([s[:-1] + o for (_, s), o in zip(parts, np.r_[0, np.cumsum([len(c) for c, _ in parts])], strict=False)])
-    place = np.arange(len(chars)) - np.repeat(start, np.diff(np.r_[start, len(chars)]))
-    keys, event = grams(chars), place >= N - 1
+    langs, found = len(parts), [[] for _ in range(N)]
+    for j, (chars, start) in enumerate(parts):
+        cuts = np.unique(np.r_[np.searchsorted(start, np.arange(0, start[-1], CHUNK)), len(start) - 1])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # some texts at a time, so that only distinct n-grams are held
+            some, first = chars[start[a] : start[b]], start[a:b] - start[a]
+            place = np.arange(len(some)) - np.repeat(first, np.diff(np.r_[first, len(some)]))
+            keys = grams(some)
+            for n in range(1, N + 1):
+                at = np.flatnonzero(place >= n - 1)
+                key, one, c = np.unique(keys[n - 1][at], return_index=True, return_counts=True)
+                shorter = keys[n - 2] if n > 1 else np.zeros(len(some), np.uint64)
+                found[n - 1].append((np.full(len(key), j), key, shorter[np.maximum(at[one] - 1, 0)], shorter[at[one]], c))
     lists = []
-    for n in range(1, N + 1):
-        at = np.flatnonzero(place >= n - 1)
-        key, one, group = np.unique(keys[n - 1][at], return_index=True, return_inverse=True)
-        lists.append({"key": key, "at": at[one], "index": Sorted(key)})
-        if n == N:
-            real = event[at]
-            count = np.stack([np.bincount(group[real & (lang[at] == j)], minlength=len(key)) for j in range(langs)], 1).astype(float)
+    for rows in found:
+        lang, key, before, after, c = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, t) for t in (np.int64, U, U, U, np.int64))
+        key, one, group = np.unique(key, return_index=True, return_inverse=True)
+        lists.append({"key": key, "prefix": before[one], "suffix": after[one], "index": Sorted(key)})
+    count = np.stack([np.bincount(group[lang == j], c[lang == j], len(key)) for j in range(langs)], 1)
     counts = [count]
     for n in range(N - 1, 0, -1):  # continuation counts: distinct characters before each shorter n-gram
         longer = lists[n]
-        suffix = lists[n - 1]["index"].find(keys[n - 1][longer["at"]])
+        suffix = lists[n - 1]["index"].find(longer["suffix"])
         counts.insert(0, np.stack([np.bincount(suffix[counts[0][:, j] > 0], minlength=len(lists[n - 1]["key"])) for j in range(langs)], 1).astype(float))
     alphabet = len(lists[0]["key"]) + 1
     total = counts[0].sum(0)
@@ -172,8 +177,7 @@ def estimate(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, np.ndarr
     levels = []
     for n in range(2, N + 1):
         own, shorter = lists[n - 1], lists[n - 2]
-        prefix = shorter["index"].find(keys[n - 2][own["at"] - 1])
-        suffix = shorter["index"].find(keys[n - 2][own["at"]])
+        prefix, suffix = shorter["index"].find(own["prefix"]), shorter["index"].find(own["suffix"])
         c = counts[n - 1]
         total = np.stack([np.bincount(prefix, c[:, j], len(shorter["key"])) for j in range(langs)], 1)
         kinds = np.stack([np.bincount(prefix, c[:, j] > 0, len(shorter["key"])) for j in range(langs)], 1)
@@ -197,7 +201,7 @@ def train(rows: list) -> Model:
     model = Model(langs, *estimate([characters(*pack([t for i, t in enumerate(texts) if i % 5] or texts)) for texts in own]))
     held = [t for texts in own for t in texts[::5]]
     truth = np.repeat(np.arange(len(langs)), [len(texts[::5]) for texts in own])
-    h, n = model.entropy(*pack(held))
+    h, n = (np.concatenate(x) for x in zip(*[model.entropy(*pack(held[i : i + 100])) for i in range(0, len(held), 100)], strict=True))
     h, n, truth = h[n > 0], n[n > 0], truth[n > 0]
     if len(truth):
         gap = (h - h.min(1, keepdims=True)) * np.sqrt(np.minimum(n, 400))[:, None]
