@@ -59,3 +59,28 @@ def test_overlay_has_every_document(spark, tables):
 def test_xor_is_mostly_recovered(spark):
     rows = registry.QUERIES["y6_xor_recovered"][0](spark, D).collect()
     assert sum(r.right for r in rows) >= 0.93 * len(rows)
+
+
+@pytest.fixture(scope="module")
+def odd_pages(spark, tmp_path_factory):
+    """Pages whose letters, spaces and cases Java's patterns and those of the SQL read differently, for every technique."""
+    near = ["Ñllllll ción", "_ab1é", "éeval(", "eval(é", "ſeval(", "Kchr(", "xorñ", "^", "passé", "paſs", "if\x0b(0)", "if (0)", "if (0)", "ſ[1]", "é[1]", "aK[0x1f]", "K[2]", "a" * 19 + "ſ", "K" * 20 + "==", "aToB(", "b64decode\x0b(", "b64decode\f(",
+            "-ENC " + "é" * 3 + "a" * 20, "Aſſembly.Load", "aſsembly.load", "piCKle.loadſ (", "marshal.loads(", "marſhal.loads(", "unſcramble(", "decrypt (", "ſtring.fromCharCode", "iNvoKe-Expression(", "inVoKe-expreSſion(", "IİX(", "while(!0){ſwitch", "while(1)\x85{switch", "á_abc", "[Char] ", "eval(function(p,a,c,K,e,d)", "eval(function(p,a,c,K,e,d)",
+            "'a'+'b'+'c'+", "'a'\x0b+'b'+'c'+", "0x1f,0x2f, 0x3f\x0b0x4f", "0x1f,0x2f, 0x3f 0x4f", "\\x1f\\x2F\\x3f\\x4f", "K" + "1f" * 16, "_0xABCD", "_0xABCDж", "жIIIIII", "llIIll‍", None, ""]
+    d = str(tmp_path_factory.mktemp("odd_pages"))
+    spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(near)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{d}/pages.parquet")
+    return d
+
+
+def check_pages(spark, name, d):
+    import duckdb
+    from compare import rows_of
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet/*.parquet'")
+    got, cur = registry.queries()[name](spark, d), con.execute(registry.oracle_sql()[name])
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_techniques_read_letters_as_the_sql_does(spark, odd_pages):
+    check_pages(spark, "x2_techniques", odd_pages)

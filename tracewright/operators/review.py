@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,28 @@ def severe(rows: DataFrame, severity: str, column: str, text: str) -> DataFrame:
     return rows.where((F.col("severity") == severity) & F.contains(F.lower(F.col(column)), F.lit(text.lower())))
 
 
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def as_re2(pattern: str) -> str:
+    """A pattern for Java that finds what RE2, the matcher of the SQL, finds with the given one: words and their edges are ASCII
+    (Java counts letters of all scripts at an edge), white space has no \\v, and without case k and s have a third form each."""
+    fold = pattern.startswith("(?i)")
+    out = []
+    for x in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?i\)|.", pattern, re.S):
+        x = {r"\b": _EDGE, r"\s": r"[\t\n\f\r ]", r"\w": "[A-Za-z0-9_]"}.get(x, x)
+        if fold and len(x) > 1 and x[0] == "[":
+            inside = re.compile(x.replace("[^", "[", 1), re.I | re.A)
+            x = x[:-1] + "".join(more for letter, more in (("k", r"\u212a"), ("s", r"\u017f")) if inside.fullmatch(letter)) + "]"
+        elif fold:
+            x = {"k": r"[k\u212a]", "s": r"[s\u017f]"}.get(x.lower(), x)
+        out.append(x)
+    return "".join(out)
+
+
 def techniques(text: Column) -> Column:
     """Names of the generic obfuscation techniques a text shows, in their fixed order. Null shows none."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in fixed.TECHNIQUES]))
+    return F.array_compact(F.array(*[F.when(text.rlike(as_re2(p)), F.lit(name)) for name, p in fixed.TECHNIQUES]))
 
 
 def technique_confidence(n: Column) -> Column:
