@@ -84,3 +84,7 @@ def check_pages(spark, name, d):
 
 def test_techniques_read_letters_as_the_sql_does(spark, odd_pages):
     check_pages(spark, "x2_techniques", odd_pages)
+
+
+def test_top_techniques_read_letters_as_the_sql_does(spark, odd_pages):
+    check_pages(spark, "g15_top_techniques", odd_pages)
