@@ -88,3 +88,7 @@ def test_techniques_read_letters_as_the_sql_does(spark, odd_pages):
 
 def test_top_techniques_read_letters_as_the_sql_does(spark, odd_pages):
     check_pages(spark, "g15_top_techniques", odd_pages)
+
+
+def test_mean_confidences_read_letters_as_the_sql_does(spark, odd_pages):
+    check_pages(spark, "g17_mean_confidences", odd_pages)
