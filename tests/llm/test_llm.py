@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import check
 
@@ -525,6 +526,44 @@ def test_rare_contexts_of_a_large_corpus_are_kept(spark):
     assert got[ids[1]] > -4_000  # log10(2) a byte, not that of the alphabet
 
 
+def test_a_bucket_of_many_parts_is_answered_in_bounded_memory():
+    """What a task holds of a bucket follows its distinct codes, not the number of parts that ask."""
+    import tracemalloc
+
+    class Counts:  # what answers() does with a DataFrame, to get at the function of a group
+        sparkSession = sparkContext = property(lambda self: self)
+        broadcast = lambda self, value: type("", (), {"value": value})
+        repartition = sortWithinPartitions = groupBy = lambda self, *a: self
+        applyInArrow = lambda self, f, schema: f
+
+    rng = np.random.default_rng(19)
+    code = ppm.distinct(rng.integers(1, 1 << 20, 600).astype(np.uint64) << np.uint64(16) | np.uint64(0x2061))
+    keys = [np.sort((rng.integers(0, len(code), 40_000).astype(np.uint64) << np.uint64(40)) | rng.integers(0, 1 << 12, 40_000).astype(np.uint64)) for _ in range(100)]
+    keys = [ppm.distinct(k) for k in keys]
+    names = ("kind", "part", "bucket", "n", "m", "codes", "counts", "longs", "uses")
+    rows = [(1, i, 7, len(code), len(k), ppm.squeezed(ppm.steps(code)), ppm.squeezed(np.ones(len(code), np.int64)), ppm.squeezed(k), ppm.squeezed(np.full(len(k), 2, np.int64))) for i, k in enumerate(keys)]
+    four = ppm.kinds_of(code, 4)
+    low = [ppm.kinds_of(four[0], 3)]
+    for j in (2, 1, 0):
+        low.insert(0, ppm.kinds_of(low[0][0], j))
+    run = ppm.answers(Counts(), low)
+    tracemalloc.start()
+    got = pa.Table.from_batches(run(iter([pa.RecordBatch.from_pydict({k: [r[i]] for i, k in enumerate(names)}) for r in rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    assert got.column("part").to_pylist() == list(range(100))
+    place, h = (np.concatenate(x) for x in zip(*[((k >> np.uint64(40)).astype(np.int64), k & np.uint64((1 << 40) - 1)) for k in keys], strict=True))
+    trie = ppm.bucket_trie(code, np.full(len(code), 100), code, ppm.Trie(low[:3]).levels, low[3])
+    want, total = ppm.long_logs(trie, code[place], h, np.ones(len(h)))
+    told = total > 1
+    sizes = [len(k) for k in keys]
+    bits = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for x, m in zip(got.column("told").to_pylist(), sizes, strict=True)]) > 0
+    assert got.column("m").to_pylist() == sizes and (bits == told).all() and 0 < told.sum()
+    logs = [ppm.loosened(x, int(b.sum()), np.float32) for x, b in zip(got.column("longs").to_pylist(), np.split(bits, np.cumsum(sizes)[:-1]), strict=True)]
+    assert (np.concatenate(logs) == want[told].astype(np.float32)).all()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 

@@ -13,7 +13,9 @@ come back, in an order that the part can repeat, and meet the packed texts in a
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ BUCKETS = 512
 CODEC, TEXT_CODEC = pa.Codec("zstd", 1), pa.Codec("zstd", 6)
 #: Bytes of text in a part, on average. A longer text than ALONE bytes is a part of its own.
 PART_BYTES, ALONE = 8 << 20, 1 << 20
+#: Of one bucket: keys counted at once, besides distinct ones; long contexts scored at once; bytes kept in memory, not in a file.
+KEYS, LONGS, SPOOL = 1 << 20, 1 << 18, 8 << 20
 _HELD = 1 << 32
 
 
@@ -368,63 +372,176 @@ def bucket_trie(code: np.ndarray, n: np.ndarray, asked: np.ndarray, base: list[L
 ANSWERS = "part long, kind int, bucket long, n long, m long, logs binary, told binary, longs binary"
 
 
-def own_rows(part: np.ndarray) -> list[tuple[int, list[int]]]:
-    """Each part and its rows; a part cut by splits has several."""
-    order = np.argsort(part, kind="stable")
-    return [(int(part[x[0]]), x.tolist()) for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1)]
+class Spool:
+    """Record batches of a group in a temporary file that goes with this object, to be read again a batch at a time."""
+
+    def __init__(self, batches: Iterable[pa.RecordBatch]):
+        self.file = tempfile.SpooledTemporaryFile(SPOOL)
+        for x in batches:
+            raw = pa.ipc.new_stream(buffer := pa.BufferOutputStream(), x.schema)
+            raw.write_batch(x)
+            raw.close()
+            raw = buffer.getvalue()
+            self.file.write(len(raw).to_bytes(8, "little"))
+            self.file.write(raw)
+
+    def __iter__(self) -> Iterator[pa.RecordBatch]:
+        self.file.seek(0)
+        while size := self.file.read(8):
+            yield from pa.ipc.open_stream(self.file.read(int.from_bytes(size, "little")))
+
+
+class Dealt:
+    """Long contexts with their symbols (code, hash, uses) in a temporary file, dealt by name into groups that are read one at a time."""
+
+    def __init__(self, many: int):
+        self.many, self.file, self.chunks = many, tempfile.SpooledTemporaryFile(SPOOL), []
+        self.held, self.waiting, self.size = [], 0, 0
+
+    def append(self, code: np.ndarray, h: np.ndarray, v: np.ndarray) -> None:
+        self.held.append((code, h, v, np.arange(self.size, self.size + len(code))))
+        self.size += len(code)
+        self.waiting += len(code)
+        if self.waiting > LONGS:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting:
+            return
+        columns = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        group = ((long_ids(*columns[:2])[0] >> U(24)) % U(self.many)).astype(np.int64)
+        at = np.argsort(group, kind="stable")
+        self.chunks.append((self.file.tell(), np.r_[0, np.cumsum(np.bincount(group, minlength=self.many))]))
+        self.file.write(np.stack([x[at].view(U) for x in columns], 1).tobytes())
+        self.held, self.waiting = [], 0
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Code, hash, uses, and place in the order of appending."""
+        self.flush()
+        for i in range(self.many):
+            raw = []
+            for begin, cut in self.chunks:
+                self.file.seek(begin + 32 * int(cut[i]))
+                raw.append(self.file.read(32 * int(cut[i + 1] - cut[i])))
+            code, h, v, place = np.ascontiguousarray(np.frombuffer(b"".join(raw), U).reshape(-1, 4).T)
+            yield code, h, v.view(np.int64), place.view(np.int64)
+
+
+def numbers(n: int) -> np.ndarray:
+    """Space for n logs, in a file that goes with the array if they are many."""
+    return np.empty(n, np.float32) if 4 * n <= SPOOL else np.memmap(tempfile.TemporaryFile(), np.float32, "w+", shape=n)
+
+
+def tallied(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """tally() of parts that come one by one: memory follows what is distinct, not how often it recurs."""
+    held, size, most = [(np.zeros(0, U), np.zeros(0, np.int64))], 0, KEYS
+    for keys, n in parts:
+        held.append((keys, n))
+        size += len(keys)
+        if size > most:
+            held = [tally(held)]
+            size, most = len(held[0][0]), max(KEYS, 2 * len(held[0][0]))
+    return tally(held)
+
+
+def of_parts(rows: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[dict]]]:
+    """Each part and its rows, which follow each other; a part cut by splits has several."""
+    own, held = None, []
+    for batch in rows:
+        for x in zip(*(batch.column(k) for k in ("part", "n", "m", *columns)), strict=True):
+            x = dict(zip(("part", "n", "m", *columns), [*(v.as_py() for v in x[:3]), *x[3:]], strict=True))
+            if held and x["part"] != own:
+                yield own, held
+                held = []
+            own = x["part"]
+            held.append(x)
+    if held:
+        yield own, held
+
+
+def codes_of(x: dict) -> np.ndarray:
+    return np.cumsum(loosened(x["codes"], x["n"], U), dtype=U)
+
+
+def longs_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a part's rows in a bucket: distinct codes; code, hash and uses of each distinct long context with its symbol."""
+    codes = [codes_of(x) for x in rows]
+    mine = distinct(np.concatenate(codes)) if len(rows) > 1 else codes[0]
+    keys = [loosened(x["longs"], x["m"], U) for x in rows]
+    place = [np.searchsorted(mine, c[(k >> U(40)).astype(np.int64)]).astype(U) for c, k in zip(codes, keys, strict=True)] if len(rows) > 1 else [keys[0] >> U(40)]
+    both = np.concatenate([(a << U(40)) | (k & U((1 << 40) - 1)) for a, k in zip(place, keys, strict=True)])
+    uses_of = [loosened(x["uses"], x["m"], np.int64) for x in rows]
+    v = np.concatenate([((u & 1) << 32) + (u >> 1) for u in uses_of])
+    both, v = tally([(both, v)]) if len(rows) > 1 else (both, v)
+    return mine, mine[(both >> U(40)).astype(np.int64)], both & U((1 << 40) - 1), v
 
 
 def answers(counts: DataFrame, low: list) -> DataFrame:
     """What the parts asked for, a row for each part and bucket, in the sorted order of what is distinct in it, which the part finds
     again from its texts. WORD: the uses of n words in training texts (logs); one row of a bucket tells how many of its words have any
     (m). GRAM: log10 of the probability of each of n codes, under the trie of all training texts (logs); of its m long contexts, which
-    another use in the corpus tells something about (told: bits), and their logs (longs)."""
+    another use in the corpus tells something about (told: bits), and their logs (longs).
+
+    A bucket grows with the corpus, so its rows are read from a file, once to count and once to answer; its long contexts are
+    dealt by their names and scored some at a time. Memory holds a bucket's distinct words or codes."""
     shared = counts.sparkSession.sparkContext.broadcast(low)
     name = uuid.uuid4().hex
 
-    def table(rows, parts, n, m, **blobs):
-        whole = {"part": pa.array(parts, pa.int64()), "kind": pa.array([rows.column("kind")[0].as_py()] * len(parts), pa.int32()), "bucket": pa.array([rows.column("bucket")[0].as_py()] * len(parts), pa.int64()), "n": pa.array(n, pa.int64()), "m": pa.array(m, pa.int64())}
-        return pa.table(whole | {k: blob(blobs.get(k), len(parts)) for k in ("logs", "told", "longs")})
-
-    def known(rows: pa.Table) -> pa.Table:
-        n = rows.column("n").to_pylist()
-        keys = [np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(rows.column("codes"), n, strict=True)]
-        key, c = tally([*zip(keys, [loosened(x, k, np.int64) for x, k in zip(rows.column("counts"), n, strict=True)], strict=True)])
-        own = [(p, distinct(np.concatenate([keys[i] for i in x]))) for p, x in own_rows(rows.column("part").to_numpy())]
-        return table(rows, [p for p, _ in own], [len(k) for _, k in own], [int((c > 0).sum()), *[0] * (len(own) - 1)], logs=[squeezed(c[np.searchsorted(key, k)]) for _, k in own])
-
-    def lengths(rows: pa.Table) -> pa.Table:
-        n, m = rows.column("n").to_pylist(), rows.column("m").to_pylist()
-        codes = [np.cumsum(loosened(x, k, U), dtype=U) for x, k in zip(rows.column("codes"), n, strict=True)]
-        code, c = tally([*zip(codes, [loosened(x, k, np.int64) for x, k in zip(rows.column("counts"), n, strict=True)], strict=True)])
+    def row(kind, bucket, part, n, m, **blobs):
+        whole = {"part": pa.array([part], pa.int64()), "kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "n": pa.array([n], pa.int64()), "m": pa.array([m], pa.int64())}
+        return pa.RecordBatch.from_pydict(whole | {k: blob([blobs[k]] if k in blobs else None, 1) for k in ("logs", "told", "longs")})
+
+    def known(rows: Spool, tell):
+        key, c = tallied((codes_of(x), loosened(x["counts"], x["n"], np.int64)) for _, own in of_parts(rows, "codes", "counts") for x in own)
+        some = int((c > 0).sum())
+        for part, own in of_parts(rows, "codes"):
+            mine = distinct(np.concatenate([codes_of(x) for x in own]))
+            yield tell(part, len(mine), some, logs=squeezed(c[np.searchsorted(key, mine)]))
+            some = 0
+
+    def long_answers(trie: Trie, rows: Spool) -> np.ndarray:
+        """The logs of the group's long contexts, in its parts' order; nan if nothing is told."""
+        total = int(sum(x.column("m").to_numpy().sum() for x in rows))
+        dealt, out = Dealt(1 + total // LONGS), numbers(total)
+        for _, own in of_parts(rows, "codes", "longs", "uses"):
+            dealt.append(*longs_of(own)[1:])
+        for code, h, v, place in dealt.groups():
+            long, uses_of = long_logs(trie, code, h, (v & (_HELD - 1)).astype(float))
+            out[place] = np.where((uses_of > 0) & ~((v == 1) & (uses_of == 1)), long, np.nan)
+        return out
+
+    def lengths(rows: Spool, tell):
+        code, c = tallied((codes_of(x), loosened(x["counts"], x["n"], np.int64)) for _, own in of_parts(rows, "codes", "counts") for x in own)
         used = c > 0
         trie = bucket_trie(code[used], c[used], code, base_levels(name, shared.value), shared.value[3])
-        log = np.concatenate([trie.log10(code[i : i + (1 << 20)]) for i in range(0, len(code), 1 << 20)]).astype(np.float32)
-        keys = [loosened(x, k, U) for x, k in zip(rows.column("longs"), m, strict=True)]
-        uses_of = [loosened(x, k, np.int64) for x, k in zip(rows.column("uses"), m, strict=True)]
-        own = []
-        for p, x in own_rows(rows.column("part").to_numpy()):
-            mine = distinct(np.concatenate([codes[i] for i in x])) if len(x) > 1 else codes[x[0]]
-            place = [np.searchsorted(mine, codes[i][(keys[i] >> U(40)).astype(np.int64)]).astype(U) for i in x]
-            both = np.concatenate([(a << U(40)) | (keys[i] & U((1 << 40) - 1)) for a, i in zip(place, x, strict=True)])
-            v = np.concatenate([((uses_of[i] & 1) << 32) + (uses_of[i] >> 1) for i in x])
-            both, v = tally([(both, v)]) if len(x) > 1 else (both, v)
-            own.append((p, mine, mine[(both >> U(40)).astype(np.int64)], both & U((1 << 40) - 1), v))
-        at = np.r_[0, np.cumsum([len(o[2]) for o in own])]
-        v = np.concatenate([o[4] for o in own])
-        long, total = long_logs(trie, np.concatenate([o[2] for o in own]), np.concatenate([o[3] for o in own]), (v & (_HELD - 1)).astype(float))
-        told = (total > 0) & ~((v == 1) & (total == 1))
-        long = long.astype(np.float32)
-        cuts = list(zip(at[:-1], at[1:], strict=True))
-        return table(
-            rows, [o[0] for o in own], [len(o[1]) for o in own], np.diff(at).tolist(), logs=[squeezed(log[np.searchsorted(code, o[1])]) for o in own],
-            told=[np.packbits(told[a:b]).tobytes() for a, b in cuts], longs=[squeezed(long[a:b][told[a:b]]) for a, b in cuts],
-        )
-
-    def run(rows: pa.Table) -> pa.Table:
-        return known(rows) if rows.column("kind")[0].as_py() == WORD else lengths(rows)
-
-    return counts.groupBy("kind", "bucket").applyInArrow(run, ANSWERS)
+        log = np.concatenate([trie.log10(code[i : i + LONGS]) for i in range(0, max(1, len(code)), LONGS)]).astype(np.float32)
+        long, at = long_answers(trie, rows), 0
+        for part, own in of_parts(rows, "codes", "longs", "uses"):
+            mine, m = codes_of(own[0]), own[0]["m"]
+            if len(own) > 1:
+                mine, whole, _, _ = longs_of(own)
+                m = len(whole)
+            here = np.array(long[at : at + m])
+            at += m
+            told = ~np.isnan(here)
+            yield tell(part, len(mine), m, logs=squeezed(log[np.searchsorted(code, mine)]), told=np.packbits(told).tobytes(), longs=squeezed(here[told]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Spool(batches)
+        first = next(iter(rows))
+        kind, bucket = first.column("kind")[0].as_py(), first.column("bucket")[0].as_py()
+        out, size = [], 0
+        for x in (known if kind == WORD else lengths)(rows, lambda *a, **b: row(kind, bucket, *a, **b)):
+            out.append(x)
+            size += x.nbytes
+            if size > SPOOL or len(out) >= common.BATCH_ROWS:
+                yield pa.concat_batches(out)
+                out, size = [], 0
+        if out:
+            yield pa.concat_batches(out)
+
+    dealt = counts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "part")
+    return dealt.groupBy("kind", "bucket").applyInArrow(run, ANSWERS)
 
 
 class Answered:
