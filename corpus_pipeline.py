@@ -86,4 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.materialize(docs)
+            common.release(spark)
     return docs

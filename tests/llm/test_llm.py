@@ -564,6 +564,15 @@ def test_a_bucket_of_many_parts_is_answered_in_bounded_memory():
     assert (np.concatenate(logs) == want[told].astype(np.float32)).all()
 
 
+def test_components_leave_no_garbage_of_a_round_in_the_driver(spark, monkeypatch):
+    told, gone, tables = [], common.release, common.materialize
+    monkeypatch.setattr(common, "release", lambda s: (told.append("release"), gone(s)))
+    monkeypatch.setattr(common, "materialize", lambda df: (told.append("table"), tables(df))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "u long, v long")
+    assert {(r.node, r.comp) for r in neardup.components(edges).collect()} == {(i, 0) for i in range(13)}
+    assert told[0] == "table" and told[1:] == ["table", "release"] * (len(told) // 2) and len(told) > 4
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 

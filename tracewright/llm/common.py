@@ -78,6 +78,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage. Where lineage is cut again and again, plans, compiled classes, broadcasts and shuffles of the
+    tables cut off would else fill the driver's whole heap before they go."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and their offsets (one more than texts); null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -120,6 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         edges = common.materialize(small)
         now = edges.agg(*marks).first()
+        common.release(edges.sparkSession)
         if now == state:
             break
         state = now
@@ -194,6 +195,7 @@ def clusters(classes: DataFrame, limit: int) -> DataFrame:
     blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"), F.count("*").alias("c")).where("c > 1").drop("c")
     rows = dealt(rest.join(blocks, "key").join(classes.select("h", "sig"), "h"), "key", "nb")
     near = compared(rows, "key", "sig", lambda bodies, sides: _near(bodies, sides, limit))
+    common.release(classes.sparkSession)
     return components(ties.union(near))
 
 
@@ -303,6 +305,7 @@ def classified(docs: DataFrame, num: int, den: int, width: int = 5) -> DataFrame
     classes = common.materialize(classes.select("h", "rep.doc_id", "rep.tx", "n", "sig", "keys"))
     near = clusters(classes.select("h", "sig", "keys"), limit)
     members = common.materialize(classes.select("h", "doc_id", "tx", "n").join(near.withColumnRenamed("node", "h"), "h"))
+    common.release(docs.sparkSession)
     links = components(confirmed(docs, members, num, den, width))
     linked = classes.select("h", "doc_id", "tx").join(links.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     # The least id that isn't null; if all are null, one text stands for its component.
