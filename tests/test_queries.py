@@ -92,3 +92,11 @@ def test_top_techniques_read_letters_as_the_sql_does(spark, odd_pages):
 
 def test_mean_confidences_read_letters_as_the_sql_does(spark, odd_pages):
     check_pages(spark, "g17_mean_confidences", odd_pages)
+
+
+def test_top_techniques_of_long_runs(spark, tmp_path):
+    """Texts for which Java's matcher would take much stack, or time beyond the text's length."""
+    gap = " " * 400
+    long = ["0x1f, " * 50000, "'a' + " * 50000, "\\x1f" * 50000, "1f" * 50000, f"0x1f{gap}0x1f{gap}0x1f{gap}", "while(1)" + 20 * gap, "void" + 20 * gap + "0", "aſ" * 5000, "aſſ" * 5000 + "[1]", "a" * 100000 + "[ 1 ]", "I" * 100000 + "é", "'a'" + gap + "+" + gap + "'b'.'c'&"]
+    spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(long)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    check_pages(spark, "g15_top_techniques", str(tmp_path))
