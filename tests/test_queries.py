@@ -100,3 +100,11 @@ def test_top_techniques_of_long_runs(spark, tmp_path):
     long = ["0x1f, " * 50000, "'a' + " * 50000, "\\x1f" * 50000, "1f" * 50000, f"0x1f{gap}0x1f{gap}0x1f{gap}", "while(1)" + 20 * gap, "void" + 20 * gap + "0", "aſ" * 5000, "aſſ" * 5000 + "[1]", "a" * 100000 + "[ 1 ]", "I" * 100000 + "é", "'a'" + gap + "+" + gap + "'b'.'c'&"]
     spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(long)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     check_pages(spark, "g15_top_techniques", str(tmp_path))
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_mean_confidences_round_as_the_sql_does(spark, tmp_path, n):
+    """Means halfway between two numbers of six places, and no page at all."""
+    texts = (["void 0 ^ chr("] * 9 + ["^"] * (3 + 2 * n) + ["void 0 ^"] + [None] * 32)[: 32 if n else 0]
+    spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    check_pages(spark, "g17_mean_confidences", str(tmp_path))
