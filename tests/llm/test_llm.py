@@ -573,6 +573,21 @@ def test_components_leave_no_garbage_of_a_round_in_the_driver(spark, monkeypatch
     assert told[0] == "table" and told[1:] == ["table", "release"] * (len(told) // 2) and len(told) > 4
 
 
+def test_components_plan_few_joins_and_broadcast_hot_keys_only(spark, monkeypatch):
+    plans, tables = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df: (plans.append(df._jdf.queryExecution().analyzed().toString()), tables(df))[1])
+
+    def joins(pairs, group=40):
+        plans.clear()
+        got = {(r.node, r.comp) for r in neardup.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+        assert got == {(i, i - i % group) for i in range(40)}
+        return max(x.count("Join ") for x in plans), any("broadcast" in x for x in plans)
+
+    assert joins([(i, i + 1) for i in range(39) if i % 5 < 4], 5) == (1, False)
+    assert joins([(0, i) for i in range(1, 40)]) == (3, True)
+    assert joins([(39, i) for i in range(39)]) == (3, True)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 

@@ -98,29 +98,47 @@ def row_table(docs: DataFrame, chunks: int, width: int) -> DataFrame:
     return common.map_blocks(docs, "doc_id long, tx long, n long, h long, sig binary, keys array<long>", make)
 
 
-def meet(rows: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with of (key, c: its rows, ...): the rows of a hot key stay where they are, so no task gets all of them."""
-    hot = F.broadcast(of.where(F.col("c") > max(8, total // HOT)).drop("c"))
-    cold = rows.join(hot.select(key), key, "left_anti").join(of.where(F.col("c") <= max(8, total // HOT)).drop("c"), key)
+def meet(rows: DataFrame, of: DataFrame, key: str, total: int, most: int) -> DataFrame:
+    """rows joined with of (key, c: its rows, `most` at most, ...): the rows of a hot key stay where they are, so no task gets all of
+    them. Without a hot key, a plain join: a smaller plan, and nothing is broadcast."""
+    limit = max(8, total // HOT)
+    if most <= limit:
+        return rows.join(of.drop("c"), key)
+    hot = F.broadcast(of.where(F.col("c") > limit).drop("c"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(of.where(F.col("c") <= limit).drop("c"), key)
     return rows.join(hot, key).unionByName(cold)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for all nodes of edges (u, v): comp is the least node reachable. Alternating large and small stars."""
+    """(node, comp) for all nodes of edges (u, v): comp is the least node reachable. Alternating large and small stars.
+
+    Each join reads tables. Plans of a whole round, where each table has several readers, and their broadcasts took more of the
+    driver's memory than all rows.
+    """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = common.materialize(edges)
     marks = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+
+    def cut(df):
+        df = common.materialize(df)
+        common.release(df.sparkSession)
+        return df
+
+    def joined(rows, least):
+        least = cut(least)
+        total, most = least.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+        return least, meet(rows, least, "u", total, most)
+
     state = edges.agg(*marks).first()
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        big = meet(both.where("v > u"), least, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = meet(big, least, "u", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        _, big = joined(both.where("v > u"), both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")))
+        big = cut(big.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least, small = joined(big, big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")))
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = common.materialize(small)
+        edges = cut(small)
         now = edges.agg(*marks).first()
-        common.release(edges.sparkSession)
         if now == state:
             break
         state = now
@@ -182,8 +200,8 @@ def clusters(classes: DataFrame, limit: int) -> DataFrame:
     """(node, comp): every pair of classes whose signatures differ in `limit` positions or fewer shares a comp."""
     keys = classes.select("h", F.explode("keys").alias("key"))
     shared = common.materialize(keys.groupBy("key").agg(F.min("h").alias("p"), F.count("*").alias("c")).where("c > 1"))
-    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    stars = common.materialize(meet(keys, shared, "key", total).select("key", "h", "p"))
+    total, most = shared.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+    stars = common.materialize(meet(keys, shared, "key", total, most).select("key", "h", "p"))
     dist = common.materialize(hamming(stars.where("h <> p").select("p", "h").distinct(), classes))
     # A class has at most as many pivots as keys: it is tied to the least of them, and so is each other one.
     tied = dist.where(f"d <= {2 * limit}").groupBy("h").agg(F.min("p").alias("u"), F.collect_set("p").alias("ps"))
